@@ -34,6 +34,9 @@ FRESH, IN_L, IN_N, IN_R, AT_A, AFTER_SP, AFTER_WS, AT_RV, AT_EL = range(9)
 LETTERS = (LET, ONE, RV, EE, EL)
 #: Distinct slices whose ids a task keeps.
 CACHE = 400_000
+#: Bytes from which a slice is merged alone, through a heap.
+LONG = 200
+NONE = np.uint64(1 << 40)
 
 
 @functools.cache
@@ -124,6 +127,42 @@ def pre_tokens(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return at[cuts[before, kind, following]]
 
 
+class PairTable:
+    """Pairs of ids and what they merge to, in open addressing, for lookups of whole arrays."""
+
+    def __init__(self, pairs: dict[int, int]):
+        left_keys, left = np.fromiter(pairs, dtype=np.uint64, count=len(pairs)), np.fromiter(pairs.values(), dtype=np.uint64, count=len(pairs))
+        self.bits = max(16, int(len(pairs)).bit_length() + 3)
+        self.keys, self.values = np.full(1 << self.bits, 2**64 - 1, dtype=np.uint64), np.full(1 << self.bits, NONE)
+        self.probes = 0
+        while len(left_keys):
+            slot = self._slot(left_keys, self.probes)
+            free = np.flatnonzero(self.keys[slot] == 2**64 - 1)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = left_keys[put], left[put]
+            left_keys, left = np.delete(left_keys, put), np.delete(left, put)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)) + np.uint64(probe) & np.uint64((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys, 0)
+        out, there = self.values[slot], self.keys[slot]
+        left = np.flatnonzero(there != keys)
+        out[left] = NONE
+        for probe in range(1, self.probes):
+            left = left[self.keys[self._slot(keys[left], probe - 1)] != 2**64 - 1]  # behind a free slot there is nothing
+            slot = self._slot(keys[left], probe)
+            hit = self.keys[slot] == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            left = left[~hit]
+            if not len(left):
+                break
+        return out
+
+
 @dataclass
 class Encoded:
     """ids of all rows; tokens: each row's first id (one more at the end); slices: byte offsets of the pre-tokens; slice_ids: each slice's first id."""
@@ -147,26 +186,56 @@ class ByteBPE:
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         #: What two neighbouring tokens merge to: the rank is also the id.
         self.pairs = {a << 32 | b: rank for token, rank in by_rank for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None}
-        self.cache: dict[bytes, list[int]] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        ids = [self.single[x] for x in piece]
-        return self._long(ids) if len(ids) > 200 else self._short(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        get, none = self.pairs.get, 1 << 40
-        rank = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while rank and (best := min(rank)) != none:
-            i = rank.index(best)
-            ids[i : i + 2] = [best]
-            del rank[i]
-            if i:
-                rank[i - 1] = get(ids[i - 1] << 32 | best, none)
-            if i < len(rank):
-                rank[i] = get(best << 32 | ids[i + 1], none)
-        return ids
+        self.lookup = PairTable(self.pairs)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Cached slices: their place among the sizes, and the ids of all, one slice after another."""
+        self.cache: dict[bytes, int] = {}
+        self.ids, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+    def merge_all(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct slices and how many each has. Slices of usual length are merged together: each round joins, in every slice that still has one, the pair of the lowest rank that stands first."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # slots, sizes, ids
+
+        def finish(slots: list[int], lists: list[list[int]]) -> None:
+            done.append((np.array(slots, dtype=np.int64), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)), np.array([x for ids in lists for x in ids], dtype=np.uint64)))
+
+        whole = list(map(self.ranks.get, found))
+        finish(slots := [i for i, x in enumerate(whole) if x is not None], [[whole[i]] for i in slots])
+        finish(slots := [i for i, x in enumerate(whole) if x is None and len(found[i]) > LONG], [self._long([self.single[x] for x in found[i]]) for i in slots])
+        short = [i for i, x in enumerate(whole) if x is None and len(found[i]) <= LONG]
+        slots, size = np.array(short, dtype=np.int64), np.fromiter((len(found[i]) for i in short), dtype=np.int64, count=len(short))
+        ids = np.array(self.single, dtype=np.uint64)[np.frombuffer(b"".join(found[i] for i in short), dtype=np.uint8)]
+        rank = np.full(len(ids), NONE, dtype=np.uint64)
+        rank[:-1] = self.lookup.get(ids[:-1] << np.uint64(32) | ids[1:])
+        rank[np.cumsum(size) - 1] = NONE
+        while len(slots):
+            starts = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, starts)
+            over = best == NONE
+            if over.any():
+                out = np.repeat(over, size)
+                done.append((slots[over], size[over], ids[out]))
+                ids, rank, size, slots, best = ids[~out], rank[~out], size[~over], slots[~over], best[~over]
+                starts = np.cumsum(size) - size
+                if not len(slots):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(best, size))
+            at = hit[np.searchsorted(hit, starts)]  # in each slice the first pair of its best rank
+            ids[at] = best
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            ids, rank, size = ids[keep], rank[keep], size - 1
+            at, starts = at - np.arange(len(at)), np.cumsum(size) - size
+            last = at == starts + size - 1
+            rank[at[last]] = NONE
+            for i in (at[~last], at[at > starts] - 1):
+                rank[i] = self.lookup.get(ids[i] << np.uint64(32) | ids[i + 1])
+        slots, size, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(slots, kind="stable")
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), pa.array(ids.astype(np.int32)))
+        return lists.take(pa.array(order)).flatten().to_numpy(), size[order]
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same merges with a heap over a linked list: n log n for slices of any length."""
@@ -194,17 +263,16 @@ class ByteBPE:
         column = pieces(data, starts, len(data)).dictionary_encode()
         distinct, index = column.dictionary.to_pylist(), column.indices.to_numpy(zero_copy_only=False)
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, got = self.cache, []
-        for piece in distinct:
-            if (ids := cache.get(piece)) is None:
-                ids = cache[piece] = self.merge(piece)
-            got.append(ids)
-        each = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(each)]), pa.array(np.fromiter((x for ids in got for x in ids), dtype=np.int32, count=int(each.sum()))))
-        ids = lists.take(pa.array(index)).flatten().to_numpy() if len(index) else np.zeros(0, dtype=np.int32)
+            self._forget()
+        if missing := [x for x in distinct if x not in self.cache]:
+            self.cache.update(zip(missing, range(len(self.sizes), len(self.sizes) + len(missing)), strict=True))
+            ids, size = self.merge_all(missing)
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, size])
+        place = np.fromiter(map(self.cache.__getitem__, distinct), dtype=np.int64, count=len(distinct))[index] if len(index) else index.astype(np.int64)
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(self.sizes)]), pa.array(self.ids))
+        ids = lists.take(pa.array(place)).flatten().to_numpy() if len(index) else np.zeros(0, dtype=np.int32)
         slice_ids = np.zeros(len(index) + 1, dtype=np.int64)
-        np.cumsum(each[index], out=slice_ids[1:])
+        np.cumsum(self.sizes[place], out=slice_ids[1:])
         return Encoded(ids, slice_ids[np.searchsorted(starts, rows)], starts, slice_ids)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

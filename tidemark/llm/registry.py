@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, sharding, token_counts
+from tidemark.llm import bpe, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_sharding": sharding.op3_sharding,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_mixing": mixing.op6_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, sharding, token_counts
+from tidemark.llm import ann, bpe, chat, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_sharding": sharding.op3_sharding,
+    "op4_nearest": ann.op4_nearest,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_chat_rotation": chat.op7_chat_rotation,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_rotation": chat.OP7_SQL,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, mixing, sharding, token_counts
+from tidemark.llm import ann, bpe, chat, media, mixing, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op7_chat_rotation": chat.op7_chat_rotation,
+    "op8_media": media.op8_media,
 }
 
 ORACLES: dict[str, str] = {

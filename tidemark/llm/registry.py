@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, media, mixing, sharding, token_counts
+from tidemark.llm import ann, bpe, chat, media, mixing, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_nearest": ann.op4_nearest,
     "op5_byte_bpe": bpe.op5_byte_bpe,

@@ -78,9 +78,9 @@ def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, most: float =
     )
     plan = written(plan, "mix-plan")
     in_source = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.join(plan.select("source_key", "source_size", "target"), "source_key").select("source_key", "bucket", "source_size", "target", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("before"))
+    offsets = sums.join(plan.select("source_key", "source_size", "target").hint("merge"), "source_key").select("source_key", "bucket", "source_size", "target", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("before"))
     in_bucket = Window.partitionBy("source_key", "bucket").orderBy(F.xxhash64(F.lit(SEED + 2), "doc_id"), "doc_id", "size")
-    placed = docs.join(offsets, ["source_key", "bucket"]).withColumn("at", F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("before", "bucket")
+    placed = docs.join(offsets.hint("merge"), ["source_key", "bucket"]).withColumn("at", F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("before", "bucket")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     parts = parts.withColumn("low", F.greatest(F.lit(0), F.col("block") * block - F.col("at"))).withColumn("high", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at")))
@@ -98,7 +98,7 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of doc_id, source and size."""
     placed, parts, slots = mix(docs, block)
     times = slots.groupBy("source_key", "block").agg(F.count("*").alias("times"))
-    joined = parts.join(times, ["source_key", "block"], "left")
+    joined = parts.join(times.hint("merge"), ["source_key", "block"], "left")
     words = joined.groupBy("source_key", "at", "doc_id", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum((F.col("high") - F.col("low")) * F.col("times")), F.lit(0)).alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     return words.select(columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, chat, media, mixing, sharding, simhash, token_counts, toxicity
+from tidemark.llm import ann, bpe, chat, media, mixing, pitman_yor, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_rotation": chat.op7_chat_rotation,
     "op8_media": media.op8_media,
     "op9_simhash": simhash.op9_simhash,
+    "op10_language_model": pitman_yor.op10_language_model,
 }
 
 ORACLES: dict[str, str] = {

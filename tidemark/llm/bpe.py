@@ -323,8 +323,8 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str) -> DataFrame:
-    """Encodes every text, decodes its ids again, and returns digests of both."""
+def round_trip(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encodes every text, decodes its ids again, and returns digests of both; also the ids, if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
@@ -336,9 +336,10 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
             cut = lambda data, at: [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             ends = listed_at[got.tokens]
             joined = [hashlib.sha256(listed[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(got.tokens)), pa.array(joined, pa.string()), pa.array(cut(back, back_at[got.tokens]), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = {"ids": pa.ListArray.from_arrays(pa.array(got.tokens, pa.int32()), pa.array(got.ids, pa.int32()))} if with_ids else {}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(got.tokens)), pa.array(joined, pa.string()), pa.array(cut(back, back_at[got.tokens]), pa.string()), *ids.values()], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *ids])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def default_path() -> str:

@@ -58,8 +58,8 @@ def permuted(index: Column, of: Column, key: list[Column]) -> Column:
     return F.pmod(wide(prime) * wide(index) + wide(F.pmod(F.xxhash64(F.lit(SEED + 1), *key), of)), wide(of)).cast("long")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows of doc_id, source and size: (placed, parts, slots).
+def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, most: float = MOST, fixed: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows of doc_id, source and size: (placed, parts, slots). fixed: a column with places from an earlier call, to be kept.
 
     placed: the rows with source_size, target and `at`, where a document begins in its source's stream.
     parts: the words of each document in each block, `low` to `high` of the document, with source_key and block.
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, most: float =
     in_source = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.join(plan.select("source_key", "source_size", "target").hint("merge"), "source_key").select("source_key", "bucket", "source_size", "target", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("before"))
     in_bucket = Window.partitionBy("source_key", "bucket").orderBy(F.xxhash64(F.lit(SEED + 2), "doc_id"), "doc_id", "size")
-    placed = docs.join(offsets.hint("merge"), ["source_key", "bucket"]).withColumn("at", F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("before", "bucket")
+    placed = docs.withColumn("at", F.col(fixed)) if fixed else docs.join(offsets.hint("merge"), ["source_key", "bucket"]).withColumn("at", F.col("before") + F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).drop("before", "bucket")
     first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     parts = parts.withColumn("low", F.greatest(F.lit(0), F.col("block") * block - F.col("at"))).withColumn("high", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at")))
@@ -104,6 +104,25 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return words.select(columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
+def mixed_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The documents of the mix: a row for each pass that takes words of a document, with its columns. The text is the
+    document's own where the pass takes it whole, else its taken words, in their order, with single spaces."""
+    columns = docs.columns
+    placed, _, _ = mix(docs.withColumn("size", word_count(F.col("text"))), block)
+    placed = written(placed.where("size > 0"), "mix-placed")
+    _, parts, slots = mix(placed.select("doc_id", "source", "size", F.col("at").alias("fixed_at")), block, fixed="fixed_at")
+    own = ["source_key", "at"]
+    spans = parts.select(*own, "block", "low", "high").join(slots.select("source_key", "block", "pass").hint("merge"), ["source_key", "block"])
+    spans = spans.groupBy(*own, "pass").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
+    rows = placed.join(spans.hint("merge"), own)
+    said = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    part = F.array_join(F.flatten(F.transform("spans", lambda x: F.slice(said, (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(columns)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-docs")
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidemark.llm import ann, bpe, chat, media, mixing, pitman_yor, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": media.op8_media,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_model": pitman_yor.op10_language_model,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

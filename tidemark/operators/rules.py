@@ -43,6 +43,7 @@ class AlertRule:
             raise ValueError("window_sec must be > 0")
         if self.min_count < 1:
             raise ValueError("min_count must be >= 1")
+        self.threshold = float(self.threshold)
 
     def as_dict(self) -> dict:
         camel = {"window_sec": "windowSec", "min_count": "minCount", "created_at": "createdAt"}
@@ -76,17 +77,18 @@ def rules_frame(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(r).values()) for r in rules], RULES)
 
 
-def selects(labels: Column, wanted: Column) -> Column:
-    """Whether a series has all labels of a rule; an absent one reads as the empty text."""
-    return F.forall(F.map_entries(wanted), lambda e: F.coalesce(F.try_element_at(labels, e["key"]), F.lit("")) == e["value"])
+def selects(labels: Column, needs: Column, absent: Column) -> Column:
+    """Whether a series has all labels of a rule: the pairs in needs, and nothing under the keys in absent."""
+    has = F.map_filter(labels, lambda _, v: v != "")
+    return (F.size(F.array_except(needs, F.map_entries(labels))) == 0) & (F.size(F.array_intersect(absent, F.map_keys(has))) == 0)
 
 
 def rule_values(samples: DataFrame, rules: DataFrame, now: int, mode: str = "bucket", seq_follows_time: bool = False) -> DataFrame:
     """rule_id, series, labels, value and samples of every enabled rule and series with samples in its window. rules is
     a handful of rows that users typed, so every task gets them; each aggregate is made once, whichever rule needs it."""
-    r = rules.where("enabled").select(F.col("id").alias("rule_id"), F.col("metric").alias("rule_metric"), F.col("labels").alias("wanted"), "agg", F.col("window_sec").cast("long").alias("w"))
+    r = rules.where("enabled").select(F.col("id").alias("rule_id"), F.col("metric").alias("rule_metric"), F.filter(F.map_entries("labels"), lambda e: e["value"] != "").alias("needs"), F.map_keys(F.map_filter("labels", lambda _, v: v == "")).alias("absent"), "agg", F.col("window_sec").cast("long").alias("w"))
     longest = F.broadcast(r)
-    rows = samples.join(longest, (F.col("metric") == F.col("rule_metric")) & F.col("t").between(F.lit(now) - F.col("w"), F.lit(now + 1)) & selects(F.col("labels"), F.col("wanted")))
+    rows = samples.join(longest, (F.col("metric") == F.col("rule_metric")) & F.col("t").between(F.lit(now) - F.col("w"), F.lit(now + 1)) & selects(F.col("labels"), F.col("needs"), F.col("absent")))
     # A window of one second asks for the samples themselves, whatever the aggregate: the last one counts.
     rows = rows.withColumn("bucket", F.when((F.col("w") <= 1) | F.lit(mode == "rolling"), F.lit(0).cast("long")).otherwise(bucket(F.col("t"), F.col("w"))))
     order = F.col("seq") if seq_follows_time else F.struct("t", "seq")

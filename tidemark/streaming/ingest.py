@@ -18,7 +18,7 @@ from tidemark.sources import exposition
 
 def landing(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
     """Lines of all files that land, with file and time of its arrival."""
-    return spark.readStream.option("maxFilesPerTrigger", files_at_once).option("wholetext", True).text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("arrived"))
+    return spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:

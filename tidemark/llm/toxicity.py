@@ -13,7 +13,7 @@ words that chance, or a shared passage, put into some more texts of one class st
 come from evidence that was cross-fitted within the training rows.
 
 Words are lower-cased (A-Z), split at ASCII white space and freed of punctuation at their ends. The models are fitted on
-at most SAMPLE rows of each label (by hash of doc_id), so their size is bounded by that sample; all texts are scored.
+at most SAMPLE toxic and ORDINARY other rows (by hash of doc_id), so their size is bounded by that sample; all texts are scored.
 A null or empty text has no evidence. Of several labels of one doc_id the largest counts; null labels don't. Rows of
 equal doc_id are all kept. Without training rows of both labels each score is the share of toxic ones (0 if none).
 """
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_bytes, documents, remainder, words, written
 
-#: Training rows of each label.
-SAMPLE = 8_000
+#: Training rows of label 1 and of label 0, at most.
+SAMPLE, ORDINARY = 8_000, 24_000
 FOLDS = 4
 DISCOUNT, Z, MARGIN, LENGTH = 0.75, 1.0, 1.5, 0.75
 #: Words in fewer toxic and fewer ordinary texts of the sample are too rare to speak and are left out.
@@ -106,9 +106,9 @@ def count(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 0)
     by_hash = labels.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
-    chosen = by_hash.where("toxic = 1").limit(SAMPLE).unionByName(by_hash.where("toxic = 0").limit(SAMPLE))
+    chosen = by_hash.where("toxic = 1").limit(SAMPLE).unionByName(by_hash.where("toxic = 0").limit(ORDINARY))
     weigh = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    # At most 2 x SAMPLE rows of two numbers.
+    # At most SAMPLE + ORDINARY rows of two numbers.
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     if not (weigh.get(0) and weigh.get(1)) or {r.toxic for r in sample.select("toxic").distinct().collect()} != {0, 1}:
         return Model(constant=float(weigh.get(1, 0) / max(1, sum(weigh.values()))))
@@ -120,7 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     totals = counts.agg(*(F.expr(f"sum({e})").alias(f"{what}{label}_{fold}") for label in (0, 1) for fold in kept for what, e in (("n", without(label, fold)), ("d", f"least({without(label, fold)}, {DISCOUNT}D)"))), F.count("*").alias("types")).first()
     found = counts.where(f"{toxic} >= {LEAST_TOXIC} OR {ordinary} >= {LEAST_ORDINARY}").toArrow()
     n = np.column_stack([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)]).astype(float)
-    shared = (n.sum(1) + 0.5) / (totals["n0_-1"] + totals["n1_-1"] + 0.5 * totals.types)
+    # Each class has its true share in the backoff, whatever share of it was sampled.
+    share = weigh[1] / (weigh[0] + weigh[1])
+    of = [n[:, k * FOLDS : (k + 1) * FOLDS].sum(1) / max(1, totals[f"n{k}_-1"]) for k in (0, 1)]
+    shared = (1 - share) * of[0] + share * of[1] + 0.5 / (totals["n0_-1"] + totals["n1_-1"] + 0.5 * totals.types)
     ratios = np.zeros((len(n), 1 + FOLDS))
     for at, fold in enumerate(kept):
         use = [k for k in range(FOLDS) if k != fold]
@@ -146,7 +149,7 @@ def calibrated(sample: DataFrame, model: Model, weigh: dict[int, int], gain: flo
         for batch in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(shared.value.evidence(batch.column("text"), 1 + fold_of(batch.column("doc_id").to_pylist())))], ["toxic", "x"])
 
-    got = sample.mapInArrow(run, "toxic int, x double").toArrow()  # at most 2 x SAMPLE rows
+    got = sample.mapInArrow(run, "toxic int, x double").toArrow()  # at most SAMPLE + ORDINARY rows
     y, x = got.column("toxic").to_numpy(), got.column("x").to_numpy() * gain
     w = np.where(y == 1, weigh[1] / max(1, (y == 1).sum()), weigh[0] / max(1, (y == 0).sum()))
     order = np.argsort(-x, kind="stable")

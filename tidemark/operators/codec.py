@@ -119,18 +119,45 @@ def decode(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(samples: DataFrame) -> DataFrame:
-    """series, block_base, part, min_ts, max_ts, count, size and payload of every block."""
+    """series, block_base, part, min_ts, max_ts, count, size and payload of every block. Rows come to a task in order of
+    block and time, so a task reads them once and holds one block at a time."""
+    kinds = {"series": pa.string(), "block_base": pa.int64(), "part": pa.int32(), "min_ts": pa.int64(), "max_ts": pa.int64(), "count": pa.int32(), "size": pa.int32(), "payload": pa.binary()}
+    keys = ["series", "block_base", "part"]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t", "ascending"), ("seq", "ascending")])
-        t, v = table.column("t").to_numpy(), table.column("v").to_numpy()
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def row(key: tuple, t: list[np.ndarray], v: list[np.ndarray]) -> tuple:
+        t, v = np.concatenate(t), np.concatenate(v)
         data = encode(t, v)
-        kinds = {"series": pa.string(), "block_base": pa.int64(), "part": pa.int32(), "min_ts": pa.int64(), "max_ts": pa.int64(), "count": pa.int32(), "size": pa.int32(), "payload": pa.binary()}
-        row = [*(k.as_py() for k in key), int(t.min()), int(t.max()), len(t), len(data), data]
-        return pa.table([pa.array([x], kind) for x, kind in zip(row, kinds.values(), strict=True)], names=list(kinds))
+        return *key, int(t.min()), int(t.max()), len(t), len(data), data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, t, v = None, [], []
+        for batch in batches:
+            done = []
+            names, bases, parts = (batch.column(c).to_pylist() for c in keys)
+            ts, vs = batch.column("t").to_numpy(), batch.column("v").to_numpy()
+            at = 0
+            while at < len(ts):
+                now, end = (names[at], bases[at], parts[at]), at + 1
+                while end < len(ts) and (names[end], bases[end], parts[end]) == now:
+                    end += 1
+                if now != key:
+                    if key is not None:
+                        done.append(row(key, t, v))
+                    key, t, v = now, [], []
+                t.append(ts[at:end])
+                v.append(vs[at:end])
+                at = end
+            if done:
+                yield packed(done)
+        if key is not None:
+            yield packed([row(key, t, v)])
 
     cut = split_blocks(samples.select("series", "block_base", "t", "v", "seq"))
-    return cut.groupBy("series", "block_base", "part").applyInArrow(run, "series string, block_base long, part int, min_ts long, max_ts long, count int, size int, payload binary")
+    in_order = cut.repartition("series", "block_base").sortWithinPartitions("series", "block_base", "part", "t", "seq")
+    return in_order.select(*keys, "t", "v").mapInArrow(run, "series string, block_base long, part int, min_ts long, max_ts long, count int, size int, payload binary")
 
 
 def samples_of(encoded: DataFrame) -> DataFrame:
@@ -138,9 +165,11 @@ def samples_of(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for series, count, payload in zip(*(batch.column(c).to_pylist() for c in ("series", "count", "payload")), strict=True):
-                t, v = decode(payload, count)
-                yield pa.RecordBatch.from_arrays([pa.array([series] * len(t), pa.string()), pa.array(t), pa.array(v), pa.array(np.arange(len(t)))], ["series", "t", "v", "seq"])
+            counts = batch.column("count").to_pylist()
+            if counts:
+                t, v = zip(*map(decode, batch.column("payload").to_pylist(), counts), strict=True)
+                names = batch.column("series").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate(t)), pa.array(np.concatenate(v)), pa.array(np.concatenate([np.arange(n) for n in counts]))], ["series", "t", "v", "seq"])
 
     return encoded.select("series", "count", "payload").mapInArrow(run, "series string, t long, v double, seq long")
 

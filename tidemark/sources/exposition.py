@@ -32,23 +32,19 @@ def parsed(lines: DataFrame, default_ts: int | Column, compat: bool = False) ->
     fields = PLAIN_FIELDS if compat else FIELDS
     name, value, millis = (F.regexp_extract("text", fields, i) for i in (1, 2, 3))
     lines = lines.withColumns({"name": name, "value": value, "millis": millis})
-    body = F.regexp_extract("name", r"^[^{]*\{(.*)\}$", 1)
     braces = F.col("name").contains("{")
-    every = lambda group: F.regexp_extract_all(body, F.lit(MATCHER), F.lit(group))
-    keys, operators = every(1), every(2)
-    values = F.transform(every(3), lambda v: F.regexp_replace(v, r"\\(.)", "$1"))
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    # The last of equal labels wins: keep an entry only if no later one has its key.
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e["k"].alias("key"), e["v"].alias("value"), (i + 1).alias("i"))), lambda e: F.array_position(F.reverse(keys), e["key"]) == F.size(keys) - e["i"] + 1)
-    labels = F.when(braces, F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))).otherwise(F.create_map().cast("map<string,string>"))
+    lines = lines.withColumns({"metric": F.regexp_extract("name", r"^([^{]*)", 1), "body": F.when(braces, F.regexp_extract("name", r"^[^{]*\{(.*)\}$", 1)).otherwise("")})
+    every = lambda group: F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all("body", F.lit(MATCHER), F.lit(group)))
+    lines = lines.withColumns({"keys": every(1), "operators": every(2), "raw": every(3), "rest": F.when(F.col("body") == "", "").otherwise(F.translate(F.regexp_replace("body", MATCHER, ""), ", \t", ""))})
+    keys, operators = F.col("keys"), F.col("operators")
+    # The last of equal labels wins: an entry goes if a later one has its key.
+    plain = F.map_from_arrays(keys, F.transform("raw", lambda v: F.regexp_replace(v, r"\\(.)", "$1")))
+    entries = F.transform(F.arrays_zip("keys", "raw"), lambda e, i: F.struct(e["keys"].alias("key"), e["raw"].alias("value"), (i + 1).alias("i")))
+    last = F.filter(entries, lambda e: ~F.array_contains(F.slice(keys, e["i"] + 1, F.size(keys)), e["key"]))
+    latest = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], F.regexp_replace(e["value"], r"\\(.)", "$1"))))
+    labels = F.when(F.size(keys) == 0, F.create_map().cast("map<string,string>")).when(F.size(F.array_distinct(keys)) == F.size(keys), plain).otherwise(latest)
     v, stamp = number(F.col("value")), F.when(F.col("millis").rlike(r"^[+-]?\d+$"), F.col("millis").try_cast("long"))
-    bad_name = (
-        ~F.regexp_extract("name", r"^([^{]*)", 1).rlike(f"^{NAME}$")
-        | (braces & (~F.col("name").endswith("}") | (F.size(keys) == 0)))
-        | F.exists(operators, lambda o: o != "=")
-        | F.exists(keys, lambda k: k == "__name__")
-        | (F.trim(F.translate(F.regexp_replace(body, MATCHER, ""), ",", "")) != "")
-    )
+    bad_name = ~F.col("metric").rlike(f"^{NAME}$") | (braces & ((F.size(keys) == 0) | (F.col("rest") != "") | F.exists(operators, lambda o: o != "=") | F.array_contains(keys, "__name__")))
     at = F.concat(F.lit("line "), F.col("lineno").cast("string"), F.lit(": "))
     error = (
         F.when(F.col("value") == "", F.concat(at, F.lit("expected metric and value")))
@@ -57,7 +53,7 @@ def parsed(lines: DataFrame, default_ts: int | Column, compat: bool = False) ->
         .when(stamp <= 0, F.concat(at, F.lit("timestamp must be positive")))
         .when(bad_name, F.concat(at, F.lit("bad series '"), "name", F.lit("'")))
     )
-    lines = lines.withColumns({"error": error, "metric": F.regexp_extract("name", r"^([^{]*)", 1), "labels": labels, "v": v})
+    lines = lines.withColumns({"error": error, "labels": labels, "v": v})
     lines = lines.withColumn("t", F.when(F.col("millis") == "", (default_ts if isinstance(default_ts, Column) else F.lit(default_ts)).cast("long")).otherwise(F.floor(stamp / 1000)))
     return lines.select("lineno", "metric", series_column(F.col("metric"), F.col("labels")).alias("series"), "labels", "t", "v", "error")
 

@@ -35,6 +35,8 @@ from tidemark.llm.common import by_bytes, documents, remainder, words, written
 #: Training rows of label 1 and of label 0, at most.
 SAMPLE, ORDINARY = 8_000, 24_000
 FOLDS = 4
+#: Bytes of text that are split into words at once.
+BATCH = 2 << 20
 DISCOUNT, Z, MARGIN, LENGTH = 0.75, 1.0, 1.5, 0.75
 #: Words in fewer toxic and fewer ordinary texts of the sample are too rare to speak and are left out.
 LEAST_TOXIC, LEAST_ORDINARY = 4, 30
@@ -84,7 +86,7 @@ def count(sample: DataFrame) -> DataFrame:
     """word, and how many documents of each label and fold hold it (a column for each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             index, rows = expressions(batch.column("text"))
             at = index.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(at):
@@ -146,7 +148,7 @@ def calibrated(sample: DataFrame, model: Model, weigh: dict[int, int], gain: flo
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(shared.value.evidence(batch.column("text"), 1 + fold_of(batch.column("doc_id").to_pylist())))], ["toxic", "x"])
 
     got = sample.mapInArrow(run, "toxic int, x double").toArrow()  # at most SAMPLE + ORDINARY rows
@@ -170,7 +172,7 @@ def scored(df: DataFrame, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")))], ["doc_id", "score"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -181,7 +183,7 @@ def accepted(df: DataFrame, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", BATCH):
             yield batch.filter(pa.array(shared.value.scores(batch.column("text")) < 0.5))
 
     return df.mapInArrow(run, df.schema)

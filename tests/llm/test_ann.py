@@ -50,3 +50,27 @@ def test_few_rows(spark):
     assert ann.nearest(frame(spark, [], [])).count() == 0
     assert ann.nearest(frame(spark, [20], [[0.0] * 4])).count() == 0
     assert ann.nearest(frame(spark, [20], [[1.0] * 4])).count() == 0
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    rows, ids = rng.standard_normal((400, 12)).astype(np.float32), np.arange(400)
+    want = brute(ids, rows.astype(np.float64))
+    for times in (np.full(400, 2), np.where(ids == 7, 1000, 1)):
+        got = results(frame(spark, np.repeat(ids, times), np.repeat(rows, times, axis=0)))
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_rows_of_one_vec_id(spark):
+    rng = np.random.default_rng(8)
+    rows, ids = rng.standard_normal((900, 12)).astype(np.float32), np.arange(900) // 3
+    ids[:600] = 401  # one vec_id with many vectors counts with its best
+    got = results(frame(spark, ids, rows))
+    wide = rows.astype(np.float64)
+    for q in set(ids[ids % 20 == 0].tolist()):
+        query = np.array(min(map(list, wide[ids == q])))
+        best = {}
+        for i, s in zip(ids.tolist(), (wide @ query).tolist()):
+            if i != q:
+                best[i] = max(s, best.get(i, s))
+        assert [i for i, _ in got[q]] == sorted(best, key=lambda i: (-best[i], i))[:20]

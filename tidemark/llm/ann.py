@@ -4,7 +4,7 @@ A last component that gives all vectors the same length turns the largest inner
 k-means on a bounded sample makes lists; every row enters the list of its centre. A query visits the lists whose centres
 are nearest, as many as the sample needs for RECALL. In a list, vectors are turned by a random rotation and read in
 blocks of columns: after each block a hypothesis test on the distance so far abandons the candidates that are beyond the
-query's bound (its k-th nearest in the sample, so no worse than its true k-th). Survivors are scored exactly, in double
+query's bound (its k-th nearest vec_id in the sample, which has one row of each, so no worse than its true k-th). Survivors are scored exactly, in double
 precision, on the original vectors.
 
 Large lists and large sets of queries are split into chunks, so no task holds more than POINTS rows and QUERIES queries.
@@ -100,7 +100,7 @@ class Index:
         return out, near, scores
 
     def scan(self, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, row number and score of what survives in one list, the K best of each query."""
+        """Query number, row number and score of what survives in one list, the K best vec_ids of each query."""
         points, asked = self.full(rows) @ self.rotation, self.full(queries, query=True) @ self.rotation
         dims = points.shape[1]
         most = (queries**2).sum(1) + self.longest**2 - 2 * bound
@@ -123,6 +123,11 @@ class Index:
             score = np.einsum("ij,ij->i", queries[qi], rows[pi])
             left = score >= bound[qi]
             qi, pi, score = qi[left], pi[left], score[left]
+            order = np.lexsort((-score, ids[pi], qi))
+            qi, pi, score = qi[order], pi[order], score[order]
+            # Of the rows of a vec_id the best one.
+            left = np.append(True, (np.diff(qi) != 0) | (np.diff(ids[pi]) != 0))[: len(qi)]
+            qi, pi, score = qi[left], pi[left], score[left]
             order = np.lexsort((ids[pi], -score, qi))
             qi, pi, score = qi[order], pi[order], score[order]
             first = np.searchsorted(qi, qi)
@@ -148,7 +153,9 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column] = lambda c: F.pm
     n, longest = df.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return spark.createDataFrame([], shape)
-    got = df.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    # One row of each of at most SAMPLE vec_ids: a bound from several rows of one vec_id would shut out right neighbours.
+    chosen = df.select("vec_id").distinct().orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE)
+    got = df.join(F.broadcast(chosen), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").toArrow()
     ids, rows = got.column("vec_id").to_numpy(), matrix(got.column("embedding").combine_chunks(), dims)
     index = spark.sparkContext.broadcast(Index(ids, rows, longest * (1 + 1e-12), n))
     visits = index.value.visits

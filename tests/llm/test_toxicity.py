@@ -46,3 +46,16 @@ def test_few_labels(spark):
     one = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.scored(docs, one).collect()} == {1.0}
     assert toxicity.scored(docs.limit(0), none).count() == 0
+
+
+def test_rare_words_and_length(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    given = corpus(1000)
+    rare = [i for i, _, y in given if y and zlib.crc32(str(i).encode()) % 5][:3]
+    docs = spark.createDataFrame([(i, f"{t} grim" if i in rare else t) for i, t, _ in given], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in given], "doc_id long, toxic int"))
+    once, twice, grim = model.evidence(pa.array(["vile w1 w2", "vile w1 w2 vile w1 w2", "grim"]), np.zeros(3, dtype=np.int64))
+    assert once > 0 and abs(once - twice) < 1e-12
+    assert grim > 0  # in three texts of the sample only

@@ -5,11 +5,11 @@ The history of a word is its class, toxic or ordinary:
     P(w | class) = max(c(class, w) - D, 0) / c(class) + D * types(class) / c(class) * P_shared(w)
 
 c counts documents, so a text that repeats itself counts once. Both classes back off to one shared distribution, built
-from continuation counts (in how many different documents of either class w stands), which smooths rare expressions
-alike on both sides.
+from continuation counts (after how many histories, here classes, w stands), which smooths rare expressions alike on both
+sides. Each word of the sample is in the models, however rare.
 A text's evidence is the difference of its log-likelihoods under both models, length-normalised: divided by
-words ** LENGTH. A word takes part by as much as its log ratio exceeds MARGIN and Z standard errors of its counts, so
-words that chance, or a shared passage, put into some more texts of one class stay silent. A logistic curve turns evidence into a score; its place and slope
+its words. A word takes part by as much as its log ratio exceeds MARGIN and Z standard errors of its counts, so
+words that chance, or a shared passage, put into some more texts of one class stay silent (README has figures without). A logistic curve turns evidence into a score; its place and slope
 come from evidence that was cross-fitted within the training rows.
 
 Words are lower-cased (A-Z), split at ASCII white space and freed of punctuation at their ends. The models are fitted on
@@ -37,9 +37,7 @@ SAMPLE, ORDINARY = 8_000, 24_000
 FOLDS = 4
 #: Bytes of text that are split into words at once.
 BATCH = 2 << 20
-DISCOUNT, Z, MARGIN, LENGTH = 0.75, 1.0, 1.5, 0.75
-#: Words in fewer toxic and fewer ordinary texts of the sample are too rare to speak and are left out.
-LEAST_TOXIC, LEAST_ORDINARY = 4, 30
+DISCOUNT, Z, MARGIN = 0.75, 1.0, 1.5
 EDGES = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 
 
@@ -62,7 +60,7 @@ class Model:
             hit = np.flatnonzero(at >= 0)
             row = np.searchsorted(rows, hit, side="right") - 1
             out = np.bincount(row, weights=self.ratios[at[hit], column[row]], minlength=len(n))
-        return out / np.maximum(n, 1) ** LENGTH
+        return out / np.maximum(n, 1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
@@ -115,21 +113,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not (weigh.get(0) and weigh.get(1)) or {r.toxic for r in sample.select("toxic").distinct().collect()} != {0, 1}:
         return Model(constant=float(weigh.get(1, 0) / max(1, sum(weigh.values()))))
     counts = written(count(sample), "toxic-counts")
-    toxic, ordinary = ("+".join(f"n{label * FOLDS + k}" for k in range(FOLDS)) for label in (1, 0))
     kept = [*range(-1, FOLDS)]
     # Of a model: documents x words of each class, and what the discount takes from them.
     without = lambda label, fold: "+".join(f"n{label * FOLDS + k}" for k in range(FOLDS) if k != fold)
-    totals = counts.agg(*(F.expr(f"sum({e})").alias(f"{what}{label}_{fold}") for label in (0, 1) for fold in kept for what, e in (("n", without(label, fold)), ("d", f"least({without(label, fold)}, {DISCOUNT}D)"))), F.count("*").alias("types")).first()
-    found = counts.where(f"{toxic} >= {LEAST_TOXIC} OR {ordinary} >= {LEAST_ORDINARY}").toArrow()
+    totals = counts.agg(*(F.expr(f"sum({e})").alias(f"{what}{label}_{fold}") for label in (0, 1) for fold in kept for what, e in (("n", without(label, fold)), ("d", f"least({without(label, fold)}, {DISCOUNT}D)")))).first()
+    found = counts.toArrow()  # the words of at most SAMPLE + ORDINARY texts
     n = np.column_stack([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)]).astype(float)
-    # Each class has its true share in the backoff, whatever share of it was sampled.
-    share = weigh[1] / (weigh[0] + weigh[1])
-    of = [n[:, k * FOLDS : (k + 1) * FOLDS].sum(1) / max(1, totals[f"n{k}_-1"]) for k in (0, 1)]
-    shared = (1 - share) * of[0] + share * of[1] + 0.5 / (totals["n0_-1"] + totals["n1_-1"] + 0.5 * totals.types)
     ratios = np.zeros((len(n), 1 + FOLDS))
     for at, fold in enumerate(kept):
         use = [k for k in range(FOLDS) if k != fold]
         logs, errors = [], 0
+        follows = sum((n[:, [label * FOLDS + k for k in use]].any(axis=1).astype(float) for label in (0, 1)), 0.5)
+        shared = follows / follows.sum()
         for label in (1, 0):
             c = n[:, [label * FOLDS + k for k in use]].sum(1)
             size, taken = totals[f"n{label}_{fold}"] or 1, totals[f"d{label}_{fold}"] or 1

@@ -59,3 +59,19 @@ def test_rare_words_and_length(spark):
     once, twice, grim = model.evidence(pa.array(["vile w1 w2", "vile w1 w2 vile w1 w2", "grim"]), np.zeros(3, dtype=np.int64))
     assert once > 0 and abs(once - twice) < 1e-12
     assert grim > 0  # in three texts of the sample only
+
+
+def test_labels_of_one_class_reject_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert sorted(r.doc_id for r in toxicity.accepted(docs, model).collect()) == [1, 2]
+
+
+def test_one_row_of_each_sampled_doc_id(spark, monkeypatch):
+    taken = []
+    whole = toxicity.count
+    monkeypatch.setattr(toxicity, "count", lambda sample: taken.append(sample.count()) or whole(sample))
+    given = corpus(100)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in given] + [(1, given[1][1])] * 500, "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in given], "doc_id long, toxic int"))
+    assert taken == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in given)]

@@ -15,7 +15,7 @@ come from evidence that was cross-fitted within the training rows.
 Words are lower-cased (A-Z), split at ASCII white space and freed of punctuation at their ends. The models are fitted on
 at most SAMPLE toxic and ORDINARY other rows (by hash of doc_id), so their size is bounded by that sample; all texts are scored.
 A null or empty text has no evidence. Of several labels of one doc_id the largest counts; null labels don't. Rows of
-equal doc_id are all kept. Without training rows of both labels each score is the share of toxic ones (0 if none).
+equal doc_id are all kept; the largest text of them trains. Without training rows of both labels each score is the share of toxic ones (0 if none).
 """
 
 from __future__ import annotations
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = by_hash.where("toxic = 1").limit(SAMPLE).unionByName(by_hash.where("toxic = 0").limit(ORDINARY))
     weigh = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     # At most SAMPLE + ORDINARY rows of two numbers.
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    # One row for each sampled doc_id, so that repeated ones don't pass the bound.
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "toxic-sample")
     if not (weigh.get(0) and weigh.get(1)) or {r.toxic for r in sample.select("toxic").distinct().collect()} != {0, 1}:
         return Model(constant=float(weigh.get(1, 0) / max(1, sum(weigh.values()))))
     counts = written(count(sample), "toxic-counts")
@@ -174,7 +175,9 @@ def scored(df: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(df: DataFrame, model: Model) -> DataFrame:
-    """The rows, all columns as they are, whose text isn't predicted toxic."""
+    """The rows, all columns as they are, whose text isn't predicted toxic; all rows where no model could be fitted."""
+    if model.constant is not None:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

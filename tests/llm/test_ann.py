@@ -52,7 +52,14 @@ def test_few_rows(spark):
     assert ann.nearest(frame(spark, [20], [[1.0] * 4])).count() == 0
 
 
-def test_repeated_rows(spark):
+def exact(monkeypatch):
+    """All lists visited, nothing abandoned in error: the answers must be those of brute force."""
+    monkeypatch.setattr(ann.Index, "_visits", lambda self, *_: len(self.centres))
+    monkeypatch.setattr(ann, "EPSILON", 50.0)
+
+
+def test_repeated_rows(spark, monkeypatch):
+    exact(monkeypatch)
     rng = np.random.default_rng(6)
     rows, ids = rng.standard_normal((400, 12)).astype(np.float32), np.arange(400)
     want = brute(ids, rows.astype(np.float64))
@@ -61,7 +68,8 @@ def test_repeated_rows(spark):
         assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
 
 
-def test_rows_of_one_vec_id(spark):
+def test_rows_of_one_vec_id(spark, monkeypatch):
+    exact(monkeypatch)
     rng = np.random.default_rng(8)
     rows, ids = rng.standard_normal((900, 12)).astype(np.float32), np.arange(900) // 3
     ids[:600] = 401  # one vec_id with many vectors counts with its best
@@ -74,3 +82,33 @@ def test_rows_of_one_vec_id(spark):
             if i != q:
                 best[i] = max(s, best.get(i, s))
         assert [i for i, _ in got[q]] == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
+def test_recall_comes_from_the_lists(spark, monkeypatch):
+    """With a sample of a tenth of the rows, what isn't in it can only be found by the scan."""
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    monkeypatch.setattr(ann, "BOUNDS", 100)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32)) * 2
+    rows = (centres[rng.integers(0, 40, 5000)] + rng.standard_normal((5000, 32))).astype(np.float32)
+    ids = np.arange(5000)
+    want, got = brute(ids, rows.astype(np.float64)), results(frame(spark, ids, rows))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert ann.Index(ids[:500], rows[:500].astype(np.float64), 30.0, 5000).visits < 31  # of 31 lists
+
+
+def test_scan_abandons_candidates_and_loses_no_near_one():
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((4000, 64))
+    rows[:400] += 3 * rng.standard_normal((1, 64))
+    ids, longest = np.arange(4000), float(np.sqrt((rows**2).sum(1)).max())
+    index = ann.Index(ids[::8], rows[::8], longest, 4000)
+    queries, asked = rows[:400:10], ids[:400:10]
+    bound = index.bounds(asked, queries)
+    qi, pi, score, abandoned = index.scan(ids, rows, asked, queries, bound)
+    want = brute(ids * 20, rows)  # every id is a query
+    hits = sum(len({int(i) for i in ids[pi[qi == k]]} & {i // 20 for i, _ in want[int(q) * 20]}) for k, q in enumerate(asked))
+    assert hits >= 0.99 * 20 * len(asked)
+    assert abandoned > 0.5 * len(queries) * len(rows)  # most candidates go before their last column
+    assert np.allclose(score, (queries[qi] * rows[pi]).sum(1))

@@ -4,13 +4,16 @@ A last component that gives all vectors the same length turns the largest inner
 k-means on a bounded sample makes lists; every row enters the list of its centre. A query visits the lists whose centres
 are nearest, as many as the sample needs for RECALL. In a list, vectors are turned by a random rotation and read in
 blocks of columns: after each block a hypothesis test on the distance so far abandons the candidates that are beyond the
-query's bound (its k-th nearest vec_id in the sample, which has one row of each, so no worse than its true k-th). Survivors are scored exactly, in double
-precision, on the original vectors.
+query's bound. The bound begins as the query's k-th nearest vec_id in a small sample (one row of each vec_id, so no
+worse than its true k-th) and tightens with what the list itself has given. Survivors are scored exactly, in double
+precision, on the original vectors. All answers come from the lists, whatever the size of the table.
 
-Large lists and large sets of queries are split into chunks, so no task holds more than POINTS rows and QUERIES queries.
+Large lists and large sets of queries are split into chunks, so no task holds more than POINTS rows and QUERIES queries;
+each chunk sends on at most K rows for each of its queries.
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor
 do rows without vec_id. Rows of one vec_id count once, with the best score; a query of several rows takes the least
-vector. Empty table: empty result.
+vector. Equal scores rank by vec_id, smaller first. Empty table: empty result. Columns other than vec_id and embedding
+are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,19 +22,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
 K, EVERY = 20, 20
-#: Rows that centres, bounds and the number of visited lists are fitted on, and queries among them.
-SAMPLE, TUNING = 16_384, 256
+#: Rows that centres and the number of visited lists are fitted on, queries among them, and rows that first bounds come from.
+SAMPLE, TUNING, BOUNDS = 16_384, 256, 1024
+#: Lists at most, and rows of the sample for each of them at least.
+LISTS, LEAST = 1024, 16
 RECALL = 0.97
 #: Columns of a block; the test's width: larger abandons later and errs less.
 COLUMNS, EPSILON = 16, 2.4
-POINTS, QUERIES = 8192, 2048
-PAIRS = 2_000_000
+POINTS, QUERIES = 32_768, 8192
+#: Pairs of a query and a row looked at together, and rows of a list after which bounds tighten.
+PAIRS, STEP = 2_000_000, 1024
 
 
 def valid(vector: Column, dims: int) -> Column:
@@ -44,32 +51,33 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 class Index:
-    """What is fitted: centres, rotation, the common length, visited lists, and the sample for bounds."""
+    """What is fitted: centres, rotation, the common length, visited lists, and the rows for first bounds."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, longest: float, n: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.longest, self.ids, self.rows = longest, ids, rows
+        self.longest, self.ids, self.rows = longest, ids[:BOUNDS], rows[:BOUNDS]
         dims = rows.shape[1] + 1
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         full = self.full(rows)
-        lists = int(max(1, min(1024, len(rows) // 64, np.sqrt(n)))) if n > 2 * POINTS // 4 else 1
+        lists = int(max(1, min(LISTS, len(rows) // LEAST, np.sqrt(n))))
         self.centres = full[rng.choice(len(full), lists, replace=False)]
-        for _ in range(8 if lists > 1 else 0):
+        for _ in range(8):
             home = self.near(full, 1)[:, 0]
             count = np.bincount(home, minlength=lists)
             sums = np.zeros_like(self.centres)
             np.add.at(sums, home, full)
             self.centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], self.centres)
-        self.visits = lists if lists == 1 else self._visits(full, rng)
+        self.visits = self._visits(rows, full, rng)
 
-    def _visits(self, full: np.ndarray, rng: np.random.Generator) -> int:
+    def _visits(self, rows: np.ndarray, full: np.ndarray, rng: np.random.Generator) -> int:
         """The least number of lists that gives RECALL within the sample."""
         pick = rng.choice(len(full), min(TUNING, len(full)), replace=False)
-        score = self.rows[pick] @ self.rows.T
+        score = rows[pick] @ rows.T
         score[np.arange(len(pick)), pick] = -np.inf
-        best = np.argpartition(-score, K - 1, axis=1)[:, :K]
+        k = min(K, len(rows))
+        best = np.argpartition(-score, k - 1, axis=1)[:, :k]
         home = self.near(full, 1)[:, 0]
-        order = self.near(self.full(self.rows[pick], query=True), len(self.centres))
+        order = self.near(self.full(rows[pick], query=True), len(self.centres))
         rank = np.argsort(order, axis=1)
         seen = np.bincount(np.take_along_axis(rank, home[best], axis=1).ravel(), minlength=len(self.centres)).cumsum()
         return int(np.searchsorted(seen, RECALL * seen[-1])) + 1
@@ -83,57 +91,77 @@ class Index:
         far = (self.centres**2).sum(1) - 2 * full @ self.centres.T
         return far.argmin(1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
 
-    def bounds(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Each query's K-th best score within the sample, without itself (-inf if the sample has fewer), and the ids and scores of those K."""
-        out, near, scores = np.full(len(rows), -np.inf), [], []
-        k = min(K, len(self.rows))
-        for a in range(0, len(rows), 256):
-            score = rows[a : a + 256] @ self.rows.T
-            score[ids[a : a + 256, None] == self.ids[None, :]] = -np.inf
-            best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-            if k == K:
-                out[a : a + 256] = np.take_along_axis(score, best, axis=1).min(1)
-            for i, at in enumerate(best):
-                at = at[score[i, at] > -np.inf]
-                near.append(self.ids[at])
-                scores.append(np.einsum("ij,j->i", self.rows[at], rows[a + i]))
-        return out, near, scores
-
-    def scan(self, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, row number and score of what survives in one list, the K best vec_ids of each query."""
+    def bounds(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Each query's K-th best score within the small sample, without itself; -inf if that has fewer."""
+        out = np.full(len(rows), -np.inf)
+        if len(self.rows) > K:
+            for a in range(0, len(rows), 1024):
+                score = rows[a : a + 1024] @ self.rows.T
+                score[ids[a : a + 1024, None] == self.ids[None, :]] = -np.inf
+                out[a : a + 1024] = np.partition(score, -K, axis=1)[:, -K]
+        # A little less, so that no rounding shuts out the k-th itself.
+        return np.where(np.isfinite(out), out - 1e-12 * (1 + np.abs(out)), out)
+
+    def scan(self, ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Query number, row number and score of what survives in one list, the K best vec_ids of each query, and how many candidates were abandoned before their last column."""
         points, asked = self.full(rows) @ self.rotation, self.full(queries, query=True) @ self.rotation
-        dims = points.shape[1]
+        bound, abandoned, done = bound.copy(), 0, []
+        step = max(1, PAIRS // STEP)
+        for a in range(0, len(queries), step):
+            own = slice(a, min(a + step, len(queries)))
+            found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+            for b in range(0, len(points), STEP):
+                qi, pi, lost = self.survivors(points[b : b + STEP], asked[own], self.most(queries[own], bound[own]))
+                abandoned += lost
+                qi, pi = qi + a, pi + b
+                left = ids[pi] != query_ids[qi]
+                qi, pi = qi[left], pi[left]
+                score = np.einsum("ij,ij->i", queries[qi], rows[pi])
+                left = score >= bound[qi]
+                new = qi[left], pi[left], score[left]
+                found = self.best(*(np.concatenate(x) for x in zip(found, new, strict=True)), ids)
+                # Where K vec_ids are known, the last of them is the new bound.
+                full = np.flatnonzero(np.diff(np.append(found[0], -1)) != 0)
+                full = full[full >= K - 1]
+                full = full[found[0][full - K + 1] == found[0][full]]
+                bound[found[0][full]] = np.maximum(bound[found[0][full]], found[2][full])
+            done.append(found)
+        return *(np.concatenate(x) for x in zip(*done, strict=True)), abandoned
+
+    def most(self, queries: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The distance, squared, that a score of the bound stands for."""
         most = (queries**2).sum(1) + self.longest**2 - 2 * bound
-        most += 1e-9 * (1 + np.abs(most))
-        out = []
-        for a in range(0, len(queries), step := max(1, PAIRS // len(points))):
-            own = slice(a, a + step)
-            width = min(COLUMNS, dims)
-            q, p = asked[own, :width], points[:, :width]
-            far = (q**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * q @ p.T
-            qi, pi = np.nonzero(far <= self.limit(most[own], width, dims)[:, None])
-            far, qi = far[qi, pi], qi + a
-            while width < dims and len(qi):
-                block = slice(width, width := min(width + COLUMNS, dims))
-                far = far + ((asked[qi, block] - points[pi, block]) ** 2).sum(1)
-                left = far <= self.limit(most, width, dims)[qi]
-                qi, pi, far = qi[left], pi[left], far[left]
-            left = ids[pi] != query_ids[qi]
-            qi, pi = qi[left], pi[left]
-            score = np.einsum("ij,ij->i", queries[qi], rows[pi])
-            left = score >= bound[qi]
-            qi, pi, score = qi[left], pi[left], score[left]
-            order = np.lexsort((-score, ids[pi], qi))
-            qi, pi, score = qi[order], pi[order], score[order]
-            # Of the rows of a vec_id the best one.
-            left = np.append(True, (np.diff(qi) != 0) | (np.diff(ids[pi]) != 0))[: len(qi)]
-            qi, pi, score = qi[left], pi[left], score[left]
-            order = np.lexsort((ids[pi], -score, qi))
-            qi, pi, score = qi[order], pi[order], score[order]
-            first = np.searchsorted(qi, qi)
-            left = np.arange(len(qi)) - first < K
-            out.append((qi[left], pi[left], score[left]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return most + np.where(np.isfinite(most), 1e-9 * (1 + np.abs(most)), 0)
+
+    def survivors(self, points: np.ndarray, asked: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the queries and points that no test has abandoned, and how many pairs the tests have."""
+        dims = points.shape[1]
+        width = min(COLUMNS, dims)
+        q, p = asked[:, :width], points[:, :width]
+        far = (q**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * q @ p.T
+        qi, pi = np.nonzero(far <= self.limit(most, width, dims)[:, None])
+        far, abandoned = far[qi, pi], far.size - len(qi) if width < dims else 0
+        while width < dims and len(qi):
+            block = slice(width, width := min(width + COLUMNS, dims))
+            far = far + ((asked[qi, block] - points[pi, block]) ** 2).sum(1)
+            left = far <= self.limit(most, width, dims)[qi]
+            if width < dims:
+                abandoned += int((~left).sum())
+            qi, pi, far = qi[left], pi[left], far[left]
+        return qi, pi, abandoned
+
+    @staticmethod
+    def best(qi: np.ndarray, pi: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The K best vec_ids of each query, best first, a row of each."""
+        order = np.lexsort((-score, ids[pi], qi))
+        qi, pi, score = qi[order], pi[order], score[order]
+        # Of the rows of a vec_id the best one.
+        left = np.append(True, (np.diff(qi) != 0) | (np.diff(ids[pi]) != 0))[: len(qi)]
+        qi, pi, score = qi[left], pi[left], score[left]
+        order = np.lexsort((ids[pi], -score, qi))
+        qi, pi, score = qi[order], pi[order], score[order]
+        left = np.arange(len(qi)) - np.searchsorted(qi, qi) < K
+        return qi[left], pi[left], score[left]
 
     @staticmethod
     def limit(most: np.ndarray, width: int, dims: int) -> np.ndarray:
@@ -150,7 +178,7 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column] = lambda c: F.pm
         return spark.createDataFrame([], shape)
     dims = usual.dims
     df = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & valid(F.col("embedding"), dims))
-    n, longest = df.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, ids_known, longest = df.agg(F.count("*"), F.countDistinct("vec_id"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return spark.createDataFrame([], shape)
     # One row of each of at most SAMPLE vec_ids: a bound from several rows of one vec_id would shut out right neighbours.
@@ -171,14 +199,26 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column] = lambda c: F.pm
             if batch.num_rows:
                 rows = matrix(batch.column("embedding"), dims)
                 lists = index.value.near(index.value.full(rows, query=True), visits).astype(np.int32)
-                bound, near, scores = index.value.bounds(batch.column("vec_id").to_numpy(), rows)
-                # A little less, so that no rounding shuts out the k-th itself.
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(bound - 1e-12 * (1 + np.abs(bound)) if len(bound) else bound), pa.array(list(lists)), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["vec_id", "embedding", "bound", "lists", "near", "scores"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(index.value.bounds(batch.column("vec_id").to_numpy(), rows)), pa.array(list(lists))], ["vec_id", "embedding", "bound", "lists"])
 
     points = written(df.mapInArrow(homes, "list int, vec_id long, embedding array<double>"), "ann-points")
     queries = df.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = written(queries.mapInArrow(asked, "vec_id long, embedding array<double>, bound double, lists array<int>, near array<long>, scores array<double>"), "ann-queries")
-    # A row for each list, and there are at most 1024.
+    queries = written(queries.mapInArrow(asked, "vec_id long, embedding array<double>, bound double, lists array<int>"), "ann-queries")
+    found = nearest_in_lists(index, points, queries, dims)
+    # The lists of a few queries may hold fewer than K rows within the bound: those queries visit all lists, without one.
+    known = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    short = queries.join(known, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < min(K, ids_known - 1)).select("vec_id", "embedding")
+    every = F.sequence(F.lit(0), F.lit(len(index.value.centres) - 1))
+    short = written(short.withColumns({"bound": F.lit(float("-inf")), "lists": every}), "ann-short")
+    if not short.isEmpty():
+        again = nearest_in_lists(index, points, short, dims)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).hint("merge"), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_in_lists(index: Broadcast, points: DataFrame, queries: DataFrame, dims: int) -> DataFrame:
+    """query_id, rank, vec_id and score: the K best that the scan of its lists finds for each query (vec_id, embedding, bound, lists)."""
+    # A row for each list, and there are at most LISTS.
     sizes = points.groupBy("list").agg(F.count("*").alias("n"))
     visitors = queries.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m"))
     chunks = F.broadcast(sizes.join(visitors, "list").select("list", F.ceil(F.col("n") / POINTS).cast("int").alias("parts"), F.ceil(F.col("m") / QUERIES).cast("int").alias("asks")))
@@ -193,14 +233,13 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column] = lambda c: F.pm
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, asks = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
-        qi, pi, score = index.value.scan(ids, matrix(a.column("embedding").combine_chunks(), dims), asks, matrix(b.column("embedding").combine_chunks(), dims), b.column("bound").to_numpy())
+        qi, pi, score, _ = index.value.scan(ids, matrix(a.column("embedding").combine_chunks(), dims), asks, matrix(b.column("embedding").combine_chunks(), dims), b.column("bound").to_numpy())
         return pa.table([pa.array(asks[qi]), pa.array(ids[pi]), pa.array(score)], names=names)
 
     found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    fitted = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("x")).select("query_id", F.col("x.near").alias("vec_id"), F.col("x.scores").alias("score"))
-    found = found.unionByName(fitted).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score"), "ann-found")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

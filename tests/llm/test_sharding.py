@@ -43,6 +43,43 @@ def test_law_groups_and_slots(spark):
         assert len(shards) == 1 or size > cap
 
 
+def plain(sizes, shards):
+    """Best-fit decreasing, group by group, by looking at every shard."""
+    left = [float(max(1, -(-sum(sizes) // shards)))] * shards
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i in range(shards) if left[i] >= size]
+        at = min(fits, key=lambda i: (left[i], i)) if fits else max(range(shards), key=lambda i: (left[i], i))
+        left[at] -= size
+        yield size, at
+
+
+def test_runs_are_best_fit_decreasing():
+    rng = random.Random(8)
+    for shards, sizes in ((24, [rng.randint(9, 400) for _ in range(3000)]), (5, [8] * 999 + [17] * 40), (24, [rng.randint(9, 60) for _ in range(30)]), (3, [int(rng.paretovariate(0.7)) + 8 for _ in range(500)])):
+        capacity = max(1, -(-sum(sizes) // shards))
+        got = Counter()
+        for size, low, high, shard in sh.runs_of(list(Counter(sizes).items()), shards, capacity):
+            got[size, shard] += high - low
+        assert got == Counter(plain(sizes, shards))
+
+
+def test_shards_are_those_of_best_fit_decreasing(spark):
+    rng = random.Random(15)
+    texts = [f"{i} " + "y" * rng.randint(1, 300) for i in range(600)]
+    given = [(i, t, "", "") for i, t in enumerate(texts + texts[:50])]
+    rows = rows_of(spark, given, 7)
+    sizes, shard = Counter(), {}
+    for r in rows:
+        sizes[bytes(r.h)] += r.size
+        assert shard.setdefault(bytes(r.h), r.shard) == r.shard
+    assert Counter((sizes[h], s) for h, s in shard.items()) == Counter(plain(list(sizes.values()), 7))
+
+
+def test_a_repeated_row_is_cut(spark):
+    load = Counter(r.shard for r in rows_of(spark, [(7, "equal", "", "")] * 480, 4))
+    assert set(load) == {0, 1, 2, 3} and max(load.values()) < 2 * min(load.values())
+
+
 def test_edge_tables(spark):
     assert rows_of(spark, []) == []
     rows = rows_of(spark, [(1, None, "", "")] * 3 + [(None, "a", "", "")])

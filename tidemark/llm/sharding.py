@@ -1,17 +1,19 @@
 """Sharding by best-fit-decreasing bin packing.
 
 Groups of equal texts stay whole. They are taken by falling size, and each enters the shard whose remaining capacity is
-the smallest that still holds it; a balanced tree over the remaining capacities finds that shard. The capacity is the
-least possible one, all bytes divided by the shards, so the law `bytes` holds: shard sizes are near equal.
-
-The greedy order is kept without passing all groups through one task. Groups of at least a LARGE-th of a shard are at
-most shards x LARGE, so the driver packs them one by one. The rest fall into classes of nearly equal size, of which
-there are at most CLASSES_PER_OCTAVE for each power of two; one class enters the tightest shard until that is full, then
-the next one. Groups find their shard through their rank in the class, counted per cell (class and hash bucket).
-
-A group larger than a shard can't stay whole under this law; it is cut into pieces by the hash of doc_id, each a
-fraction of a shard. A null text has no bytes (size 8, crc of no bytes) and belongs with the empty texts. Rows of equal
-doc_id are all kept. Empty table: empty result.
+the smallest that still holds it (the emptiest, if none does); a balanced tree over the remaining capacities finds that
+shard. The capacity is the least possible one, all bytes divided by the shards, so the law `bytes` holds: shard sizes are
+near equal.
+
+Groups of one size are interchangeable, so the greedy order needs only the number of groups of each size: the driver
+places runs of equal groups through the tree, exactly as one by one. There are at most sqrt(2 x all bytes) sizes, in
+practice far fewer. The groups of a size are then ranked, in hash cells whose counts are added up first, and find the
+run, and with it the shard, of their rank.
+
+A group larger than a shard can't stay whole under this law; its rows are cut into pieces, each a fraction of a shard,
+which are packed like groups. A null text has no bytes (size 8, crc of no bytes) and belongs with the empty texts. Rows
+of equal doc_id are all kept. Ties of size are broken by the hash of the text, ties of capacity by shard number. Empty
+table: empty result. Columns other than doc_id and text are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +29,11 @@ from tidemark.llm.common import documents, written
 
 SHARDS = 24
 OVERHEAD = 8
-#: Groups of at least this part of a shard's capacity are packed one by one.
-LARGE = 1000
-CLASSES_PER_OCTAVE = 32
+#: Groups of at least this part of all rows find their shard through a broadcast; there are at most so many.
+HEAVY = 10_000
 #: Pieces for each capacity that an oversized group holds.
 PIECES = 16
-#: Hash buckets that a class is counted in, and rows that one bucket of a shard has at most, on average.
+#: Hash cells that a size is counted in, and rows that one bucket of a shard has at most, on average.
 CELLS, BUCKET_ROWS = 64, 50_000
 
 
@@ -125,70 +127,61 @@ class RemainingCapacity:
         return shard, n
 
 
-def size_class(size: F.Column) -> F.Column:
-    return F.floor(F.log2(size) * CLASSES_PER_OCTAVE).cast("int")
+def runs_of(sizes: list[tuple[int, int]], shards: int, capacity: float) -> list[tuple[int, int, int, int]]:
+    """Of (size, groups) rows: size, first rank, rank behind the last, and shard of each run of equal groups."""
+    tree, runs = RemainingCapacity(), []
+    for i in range(shards):
+        tree.insert(float(capacity), i)
+    for size, n in sorted(sizes, reverse=True):
+        at = 0
+        while at < n:
+            shard, k = tree.place(size, n - at)
+            runs.append((size, at, at + k, shard))
+            at += k
+    return runs
 
 
 def pack(df: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32 and shard for every row of doc_id and text."""
+    """doc_id, size, text_crc32, h (hash of the text), row (a number of its own) and shard for every row of doc_id and text."""
     spark = df.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = written(df.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("h")), "shard-facts")
-    total = facts.agg(F.sum("size")).first()[0] or 0
-    capacity = max(1, -(-total // shards))
-    sums = written(facts.groupBy("h").agg(F.sum("size").alias("bytes")), "shard-groups")
-    #: Fewer than `shards` groups can be larger than a shard.
+    facts = df.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("h"))
+    facts = written(facts.withColumn("row", F.monotonically_increasing_id()), "shard-facts")
+    total, rows = facts.agg(F.sum("size"), F.count("*")).first()
+    capacity = max(1, -(-(total or 0) // shards))
+    sums = written(facts.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    # Fewer than `shards` groups can be larger than a shard.
     over = sums.where(F.col("bytes") > capacity).withColumn("cuts", F.ceil(F.col("bytes") * PIECES / capacity)).select("h", "cuts")
     if over.isEmpty():
         facts, groups = facts.withColumn("piece", F.lit(0)), sums.withColumn("piece", F.lit(0))
     else:
-        facts = facts.join(F.broadcast(over), "h", "left").withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("cuts"))).cast("int")).drop("cuts")
-        cut = facts.join(F.broadcast(over), "h", "left_semi").groupBy("h", "piece").agg(F.sum("size").alias("bytes"))
+        facts = facts.join(F.broadcast(over), "h", "left").withColumn("piece", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("cuts"))).cast("int")).drop("cuts")
+        cut = facts.join(F.broadcast(over), "h", "left_semi").groupBy("h", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
         groups = sums.where(F.col("bytes") <= capacity).withColumn("piece", F.lit(0)).unionByName(cut)
-    groups = groups.select("h", "piece", "bytes", size_class(F.col("bytes")).alias("class"), F.pmod(F.xxhash64("h", "piece"), F.lit(CELLS)).cast("int").alias("cell"))
-
-    tree = RemainingCapacity()
-    for i in range(shards):
-        tree.insert(float(capacity), i)
-    # At most shards x LARGE rows: each holds that part of a shard.
-    large = sorted(groups.where(F.col("bytes") * LARGE >= capacity).select("h", "piece", "bytes").collect(), key=lambda r: (-r.bytes, bytes(r.h), r.piece))
-    placed = [(bytes(r.h), r.piece, tree.place(r.bytes, 1)[0]) for r in large]
-    small = groups.where(F.col("bytes") * LARGE < capacity)
-    # At most CELLS rows for each class, and a class for each 32nd of an octave.
-    cells = small.groupBy("class", "cell").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
-    counts: dict[int, list[float]] = {}
-    before: list[tuple[int, int, int]] = []
-    for r in sorted(cells, key=lambda r: (-r["class"], r.cell)):
-        known = counts.setdefault(r["class"], [0, 0])
-        before.append((r["class"], r.cell, known[0]))
-        known[0] += r.n
-        known[1] += r.bytes
-    runs: list[tuple[int, int, int, int]] = []
-    for kind, (n, size) in counts.items():
-        at = 0
-        while at < n:
-            shard, k = tree.place(size / n, n - at)
-            runs.append((kind, at, at + k, shard))
-            at += k
-    large_at = F.broadcast(spark.createDataFrame(placed, "h binary, piece int, shard int"))
-    cell_at = F.broadcast(spark.createDataFrame(before, "class int, cell int, before long"))
-    runs_at = F.broadcast(spark.createDataFrame(runs, "class int, low long, high long, shard int"))
-    ranked = small.join(cell_at, ["class", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("class", "cell").orderBy("h", "piece")) - 1)
-    small_at = ranked.join(runs_at, "class").where("rank >= low AND rank < high").select("h", "piece", "shard")
-    # The large groups are known to few rows; what is left has no key of a LARGE-th of a shard.
-    of_large = facts.join(large_at, ["h", "piece"])
-    of_small = facts.join(large_at.select("h", "piece"), ["h", "piece"], "left_anti").join(small_at, ["h", "piece"])
-    return written(of_large.unionByName(of_small).select("doc_id", "size", "text_crc32", "h", "shard"), "shards")
+    groups = written(groups.select("h", "piece", "bytes", "rows", F.pmod(F.xxhash64("h", "piece"), F.lit(CELLS)).cast("int").alias("cell")), "shard-pieces")
+    cells = groups.groupBy("bytes", "cell").agg(F.count("*").alias("n"))
+    cells = written(cells.withColumn("before", F.sum("n").over(Window.partitionBy("bytes").orderBy("cell")) - F.col("n")), "shard-cells")
+    found = cells.groupBy("bytes").agg(F.sum("n").alias("n")).toArrow()  # a row for each size
+    runs = list(zip(*runs_of(list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)), shards, capacity), strict=True)) or [()] * 4
+    kinds = {"bytes": pa.int64(), "low": pa.int64(), "high": pa.int64(), "shard": pa.int32()}
+    runs = spark.createDataFrame(pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), runs, strict=True)}))
+    ranked = groups.join(cells.drop("n").hint("merge"), ["bytes", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("h", "piece")) - 1)
+    placed = written(ranked.join(runs.hint("merge"), "bytes").where("rank >= low AND rank < high").select("h", "piece", "rows", "shard"), "shard-places")
+    # Groups of many rows, at most HEAVY of them, don't pass through a shuffle; no other key has more than that part of all rows.
+    heavy = F.broadcast(placed.where(F.col("rows") * HEAVY >= (rows or 1)).select("h", "piece", "shard"))
+    of_heavy = facts.join(heavy, ["h", "piece"])
+    others = facts.join(heavy.select("h", "piece"), ["h", "piece"], "left_anti").join(placed.select("h", "piece", "shard").hint("merge"), ["h", "piece"])
+    return written(of_heavy.unionByName(others).select("doc_id", "size", "text_crc32", "h", "row", "shard"), "shards")
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """Adds slot: rows of each shard are numbered from 0 without gaps, in hash buckets that are counted first."""
     n = df.count()
     buckets = max(64, min(65_536, n // BUCKET_ROWS))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int"))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h", "row"), F.lit(buckets)).cast("int"))
     counts = df.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "h")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "h", "row")
     return df.withColumn("own", F.row_number().over(inside) - 1).join(F.broadcast(before), ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("own"))
 
 

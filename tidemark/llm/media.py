@@ -1,14 +1,19 @@
 """Media columns: payloads in tar shards, addressed by their content.
 
 A text's bytes, padded with 255 to a multiple of UNIT, are the samples of an 8-bit grey image of UNIT columns, stored
-without loss as PNG. A task writes the images of its rows into tar shards of its own, each distinct content once; rows
-carry digest, shard, offset and length. All rows of one digest then share one location. Images that several tasks hold
-stay in the other shards without a row that names them. Metadata columns come from range reads of the image header
-alone; features from the whole range, read back and unpacked.
+without loss as PNG. Each distinct content is stored once: digests are taken first, the 32 bytes of each are shuffled to
+choose one owner (a scan task and its row) for each content, and a second scan stores what its task owns. Texts and images
+never pass through a shuffle. Rows carry digest, shard, offset and length; all rows of one digest share one location.
+Metadata columns come from range reads of the image header alone; features from the whole range, read back and unpacked.
 
 Shards lie in the folder that the cluster shares, under names that no second attempt of a task uses again, so the rows
-of the attempt that counts always name whole files; the files of a lost attempt stay behind, without rows. The row table
-is written once and read from there. A null text is empty; rows of equal doc_id are all kept. Empty table: empty result.
+of the attempt that counts always name whole files; the files of a lost attempt stay behind, without rows. The tables of
+digests, owners and locations are written once and read from there. Both scans must deal the rows out alike, as scans of
+files do; digests are taken anew while storing, and a content that is missing or stored twice raises an error.
+
+A null text is empty; rows of equal doc_id are all kept. Equal texts share a location; which row of them owns it is
+fixed by task and row number. Empty table: empty result. Columns other than doc_id and text are neither read nor
+returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ UNIT, PAD = 576, 255
 #: A shard of more bytes is closed and a new one begun.
 SHARD_BYTES = 1 << 30
 LEVEL = 6
+#: Bytes of images that one task reads back, about.
+READ_BYTES = 64 << 20
 #: The signature of PNG, and the bytes up to the end of its header chunk.
 SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
 TAR_BLOCK = 512
@@ -108,36 +115,73 @@ class Shard:
         self.file.close()
 
 
-def store(df: DataFrame, folder: str) -> DataFrame:
-    """doc_id, n_bytes, digest (SHA-256 of the payload), shard, offset and length for every row of doc_id and text."""
+def digests(df: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digest (SHA-256 of the payload), task and row (its number in the task) for every row of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, known = None, {}
+        from pyspark import TaskContext
+
+        task, at = TaskContext.get().partitionId(), 0
         for batch in by_bytes(batches, "text"):
             data, rows = flat(batch.column("text"))
-            digests, places = [], []
-            for a, b in zip(rows[:-1], rows[1:], strict=True):
-                whole = payload(data[a:b])
+            each = [hashlib.sha256(payload(data[a:b])).digest() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(rows)), pa.array(each, pa.binary()), pa.array(np.full(len(each), task, dtype=np.int32)), pa.array(np.arange(at, at + len(each)))], ["doc_id", "n_bytes", "digest", "task", "row"])
+            at += len(each)
+
+    return written(df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest binary, task int, row long"), "media-digests")
+
+
+def owned(folder: str, task: int) -> np.ndarray:
+    """The rows that a task owns, ascending; at most those of its own scan."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(f"{folder}/task={task}")
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *(pq.read_table(f.path, filesystem=system, columns=["row"], partitioning=None).column("row").to_numpy() for f in found if f.path.endswith(".parquet"))]))
+
+
+def store(df: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, places): doc_id, n_bytes and digest of every row of doc_id and text; digest, shard, offset and length of every content."""
+    spark = df.sparkSession
+    rows = digests(df)
+    owners = rows.groupBy("digest").agg(F.min(F.struct("task", "row")).alias("o")).select("o.*")
+    place = new_path(spark, "media-owners")
+    owners.repartition("task").write.partitionBy("task").parquet(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        mine, at, shard = owned(place, TaskContext.get().partitionId()), 0, None
+        for batch in by_bytes(batches, "text"):
+            data, cuts = flat(batch.column("text"))
+            here = mine[np.searchsorted(mine, at) : np.searchsorted(mine, at + batch.num_rows)] - at
+            out = []
+            for i in here.tolist():
+                whole = payload(data[cuts[i] : cuts[i + 1]])
                 digest = hashlib.sha256(whole).digest()
-                if digest not in known:
-                    if shard is not None and shard.at > SHARD_BYTES:
-                        shard.close()
-                        shard = None
-                    shard = shard or Shard(folder)
-                    known[digest] = (shard.name, *shard.put(f"{digest.hex()}.png", to_png(whole)))
-                digests.append(digest)
-                places.append(known[digest])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(rows)), pa.array(digests, pa.binary()), *(pa.array([p[i] for p in places], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64())))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                if shard is not None and shard.at > SHARD_BYTES:
+                    shard.close()
+                    shard = None
+                shard = shard or Shard(folder)
+                out.append((digest, shard.name, *shard.put(f"{digest.hex()}.png", to_png(whole))))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64()))], ["digest", "shard", "offset", "length"])
         if shard is not None:
             shard.close()
 
-    return written(df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
+    places = written(df.select("doc_id", "text").mapInArrow(run, "digest binary, shard string, offset long, length long"), "media-places")
+    seal = [F.count("*"), F.bit_xor(F.xxhash64("digest"))]
+    if tuple(places.agg(*seal).first()) != tuple(rows.select("digest").distinct().agg(*seal).first()):
+        raise RuntimeError("the two scans of the table have dealt its rows out differently; write the table first")
+    return rows.select("doc_id", "n_bytes", "digest"), places
 
 
-def locations(rows: DataFrame) -> DataFrame:
-    """One place for each digest, the rows of a shard together and in the order of the file."""
-    place = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    return place.repartition("shard").sortWithinPartitions("shard", "offset")
+def in_order(places: DataFrame) -> DataFrame:
+    """The locations in ranges of about READ_BYTES of images, each in the order of its files."""
+    size = places.agg(F.sum("length")).first()[0] or 0
+    n = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 class Reader:
@@ -187,8 +231,9 @@ def features(places: DataFrame, folder: str) -> DataFrame:
 
 def media(df: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_path(df.sparkSession, "media-shards")
-    rows = store(df, folder)
-    return rows.select("doc_id", "n_bytes", "digest").join(features(locations(rows), folder), "digest").drop("digest")
+    rows, places = store(df, folder)
+    found = written(features(in_order(places), folder), "media-features")
+    return rows.join(found, "digest").drop("digest")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

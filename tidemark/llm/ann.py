@@ -5,8 +5,9 @@ k-means on a bounded sample makes lists; every row enters the list of its centre
 are nearest, as many as the sample needs for RECALL. In a list, vectors are turned by a random rotation and read in
 blocks of columns: after each block a hypothesis test on the distance so far abandons the candidates that are beyond the
 query's bound. The bound begins as the query's k-th nearest vec_id in a small sample (one row of each vec_id, so no
-worse than its true k-th) and tightens with what the list itself has given. Survivors are scored exactly, in double
-precision, on the original vectors. All answers come from the lists, whatever the size of the table.
+worse than its true k-th) and tightens with what the list itself has given; the FIRST nearest lists are scanned before
+the others, which begin with the bound that those have given. Survivors are scored exactly, in double precision, on the
+original vectors. All answers come from the lists, whatever the size of the table.
 
 Large lists and large sets of queries are split into chunks, so no task holds more than POINTS rows and QUERIES queries;
 each chunk sends on at most K rows for each of its queries.
@@ -31,8 +32,8 @@ from tidemark.llm.common import written
 K, EVERY = 20, 20
 #: Rows that centres and the number of visited lists are fitted on, queries among them, and rows that first bounds come from.
 SAMPLE, TUNING, BOUNDS = 16_384, 256, 1024
-#: Lists at most, and rows of the sample for each of them at least.
-LISTS, LEAST = 1024, 16
+#: Lists at most, rows of the sample for each of them at least, and lists that are scanned before the others.
+LISTS, LEAST, FIRST = 1024, 16, 8
 RECALL = 0.97
 #: Columns of a block; the test's width: larger abandons later and errs less.
 COLUMNS, EPSILON = 16, 2.4
@@ -204,7 +205,11 @@ def nearest(df: DataFrame, is_query: Callable[[Column], Column] = lambda c: F.pm
     points = written(df.mapInArrow(homes, "list int, vec_id long, embedding array<double>"), "ann-points")
     queries = df.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = written(queries.mapInArrow(asked, "vec_id long, embedding array<double>, bound double, lists array<int>"), "ann-queries")
-    found = nearest_in_lists(index, points, queries, dims)
+    first = nearest_in_lists(index, points, queries.withColumn("lists", F.slice("lists", 1, FIRST)), dims)
+    reached = first.where(F.col("rank") == K).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
+    rest = queries.where(F.size("lists") > FIRST).join(reached.hint("merge"), "vec_id", "left")
+    rest = rest.select("vec_id", "embedding", F.greatest("bound", "reached").alias("bound"), F.slice("lists", FIRST + 1, len(index.value.centres)).alias("lists"))
+    found = written(best_of(first.unionByName(nearest_in_lists(index, points, written(rest, "ann-rest"), dims))), "ann-found")
     # The lists of a few queries may hold fewer than K rows within the bound: those queries visit all lists, without one.
     known = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
     short = queries.join(known, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < min(K, ids_known - 1)).select("vec_id", "embedding")
@@ -237,9 +242,14 @@ def nearest_in_lists(index: Broadcast, points: DataFrame, queries: DataFrame, di
         return pa.table([pa.array(asks[qi]), pa.array(ids[pi]), pa.array(score)], names=names)
 
     found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(scan, "query_id long, vec_id long, score double")
+    return written(best_of(found), "ann-lists")
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    """The K best vec_ids of each query, with their rank."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,9 +56,61 @@ def test_rare_words_and_length(spark):
     rare = [i for i, _, y in given if y and zlib.crc32(str(i).encode()) % 5][:3]
     docs = spark.createDataFrame([(i, f"{t} grim" if i in rare else t) for i, t, _ in given], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in given], "doc_id long, toxic int"))
-    once, twice, grim = model.evidence(pa.array(["vile w1 w2", "vile w1 w2 vile w1 w2", "grim"]), np.zeros(3, dtype=np.int64))
+    once, twice, grim, unknown = model.evidence(pa.array(["vile w1 w2", "vile w1 w2 vile w1 w2", "grim", "never seen"]), np.zeros(4, dtype=np.int64))
     assert once > 0 and abs(once - twice) < 1e-12
-    assert grim > 0  # in three texts of the sample only
+    assert grim > unknown  # in three texts of the sample only
+
+
+def brute(train, texts, folds=None):
+    """Evidence of each text by models of (text, toxic) pairs, word by word."""
+    import math
+    from collections import Counter
+
+    split = lambda t: [w.strip(toxicity.EDGES) for w in t.lower().split()]
+    c = {y: Counter(w for t, z in train if z == y for w in set(split(t))) for y in (0, 1)}
+    words = set(c[0]) | set(c[1])
+    follows = {w: sum(w in c[y] for y in (0, 1)) + 0.5 for w in words} | {None: 0.5}
+    whole = sum(follows.values())
+
+    def p(w, y):
+        n = [1 + sum(v == k for v in c[y].values()) for k in (1, 2, 3, 4)]
+        y_ = n[0] / (n[0] + 2 * n[1])
+        d = [min(k, max(0, k - (k + 1) * y_ * n[k] / n[k - 1])) for k in (1, 2, 3)]
+        off = lambda v: min(v, d[min(v, 3) - 1]) if v else 0
+        return (c[y][w] - off(c[y][w]) + sum(map(off, c[y].values())) * follows.get(w, 0.5) / whole) / sum(c[y].values())
+
+    out = []
+    for t in texts:
+        each = [lambda s, r=p(w, 1) / p(w, 0): math.log(1 - s + s * r) for w in split(t)]
+        out.append(lambda s, each=each: sum(f(s) for f in each) / max(1, len(each)))
+    return out
+
+
+def test_models_against_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    given = [(i, " ".join(t.split()[:40]), y) for i, t, y in corpus(160)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in given], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in given], "doc_id long, toxic int"))
+    train = [(i, t, y) for i, t, y in given if zlib.crc32(str(i).encode()) % 5]
+    texts = [t for _, t, _ in given[:50]] + ["", "vile unseen words"]
+    want = brute([(t, y) for _, t, y in train], texts)
+    got = model.evidences(pa.array(texts), np.zeros(len(texts), dtype=np.int64), toxicity.SHARES)
+    assert all(abs(got[k, i] - f(s)) < 1e-9 for i, f in enumerate(want) for k, s in enumerate(toxicity.SHARES))
+    fold = lambda i: zlib.crc32(b"fold %d" % i) % toxicity.FOLDS
+    crossed = {}
+    for k in range(toxicity.FOLDS):
+        mine = [x for x in train if fold(x[0]) == k]
+        crossed |= {x[0]: f for x, f in zip(mine, brute([(t, y) for i, t, y in train if fold(i) != k], [x[1] for x in mine]))}
+    best = max((max(f1(s, cut, train, crossed) for cut in {crossed[i](s) for i, _, _ in train}), -toxicity.SHARES.index(s), s) for s in toxicity.SHARES)
+    assert model.share == best[2] and abs(f1(model.share, model.centre, train, crossed) - best[0]) < 1e-12
+    assert all((score >= 0.5) == (f(model.share) >= model.centre) for score, f in zip(model.scores(pa.array(texts)), want))
+
+
+def f1(share, cut, train, crossed):
+    said = [(crossed[i](share) >= cut, y) for i, _, y in train]
+    return 2 * sum(a and b for a, b in said) / (sum(a for a, _ in said) + sum(b for _, b in said))
 
 
 def test_labels_of_one_class_reject_nothing(spark):

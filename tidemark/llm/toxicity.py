@@ -2,20 +2,25 @@
 
 The history of a word is its class, toxic or ordinary:
 
-    P(w | class) = max(c(class, w) - D, 0) / c(class) + D * types(class) / c(class) * P_shared(w)
+    P(w | class) = max(c(class, w) - D(c), 0) / c(class) + taken(class) / c(class) * P_shared(w)
 
-c counts documents, so a text that repeats itself counts once. Both classes back off to one shared distribution, built
-from continuation counts (after how many histories, here classes, w stands), which smooths rare expressions alike on both
-sides. Each word of the sample is in the models, however rare.
-A text's evidence is the difference of its log-likelihoods under both models, length-normalised: divided by
-its words. A word takes part by as much as its log ratio exceeds MARGIN and Z standard errors of its counts, so
-words that chance, or a shared passage, put into some more texts of one class stay silent (README has figures without). A logistic curve turns evidence into a score; its place and slope
-come from evidence that was cross-fitted within the training rows.
+c counts documents, so a text that repeats itself counts once; D has the three discounts of modified Kneser-Ney
+smoothing, from each class's counts of counts; taken is what they take away. Both classes back off to one shared
+distribution of continuation counts (after how many histories, here classes, w stands; and half of one more, which an
+unknown word has too). So rare and unknown expressions are smoothed alike on both sides, and no word is left out.
+
+Most words of a toxic text are ordinary, so a toxic text is likened to the ordinary model with a share of toxic words.
+Its evidence is the difference of both log-likelihoods, length-normalised: the mean over its words of
+log(1 - share + share * P(w | toxic) / P(w | ordinary)). The share, out of SHARES, and the cut on the evidence are those
+of the best F1 on the training rows, whose evidence is cross-fitted; a logistic curve through the cut gives the score.
 
 Words are lower-cased (A-Z), split at ASCII white space and freed of punctuation at their ends. The models are fitted on
-at most SAMPLE toxic and ORDINARY other rows (by hash of doc_id), so their size is bounded by that sample; all texts are scored.
-A null or empty text has no evidence. Of several labels of one doc_id the largest counts; null labels don't. Rows of
-equal doc_id are all kept; the largest text of them trains. Without training rows of both labels each score is the share of toxic ones (0 if none).
+at most SAMPLE toxic and ORDINARY other rows (by hash of doc_id, ties by doc_id), so their size is bounded by that
+sample; all texts are scored. A null or empty text has no evidence. Of several labels of one doc_id the largest counts;
+null labels don't. Rows of equal doc_id are all kept; the largest text of them trains. Without training rows of both
+labels each score is the share of toxic ones (0 if none), and no document is rejected. Empty table: empty result. Columns
+other than doc_id and text are kept by `accepted` as they are, and neither read nor returned by `scored`, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,31 +42,37 @@ SAMPLE, ORDINARY = 8_000, 24_000
 FOLDS = 4
 #: Bytes of text that are split into words at once.
 BATCH = 2 << 20
-DISCOUNT, Z, MARGIN = 0.75, 1.0, 1.5
+#: Shares of toxic words that are tried.
+SHARES = (0.03, 0.01, 0.003, 0.001, 0.0001)
 EDGES = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 
 
 @dataclass
 class Model:
     vocabulary: list[str] = field(default_factory=list)
-    #: Log ratios: a column for the whole training set and one without each fold.
-    ratios: np.ndarray = field(default_factory=lambda: np.zeros((0, 1 + FOLDS)))
+    #: P(w | toxic) / P(w | ordinary): a column for the whole training set and one without each fold; last the row of unknown words.
+    ratios: np.ndarray = field(default_factory=lambda: np.ones((1, 1 + FOLDS)))
+    share: float = SHARES[0]
     centre: float = 0.0
     slope: float = 1.0
     constant: float | None = None
 
-    def evidence(self, texts: pa.Array, column: np.ndarray) -> np.ndarray:
-        """column: for each row the column of ratios to use."""
+    def evidences(self, texts: pa.Array, column: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+        """A row for each share. column: for each text the column of ratios to use."""
         index, rows = expressions(texts)
         n = np.diff(rows)
-        out = np.zeros(len(n))
-        if len(index) and self.vocabulary:
-            at = pc.fill_null(pc.index_in(index.dictionary, pa.array(self.vocabulary)), -1).to_numpy(zero_copy_only=False)[index.indices.to_numpy(zero_copy_only=False)]
-            hit = np.flatnonzero(at >= 0)
-            row = np.searchsorted(rows, hit, side="right") - 1
-            out = np.bincount(row, weights=self.ratios[at[hit], column[row]], minlength=len(n))
+        out = np.zeros((len(shares), len(n)))
+        if len(index):
+            at = pc.fill_null(pc.index_in(index.dictionary, pa.array(self.vocabulary, pa.string())), -1).to_numpy(zero_copy_only=False)[index.indices.to_numpy(zero_copy_only=False)]
+            ratio = self.ratios[at, np.repeat(column, n)]
+            row = np.repeat(np.arange(len(n)), n)
+            for k, share in enumerate(shares):
+                out[k] = np.bincount(row, weights=np.log(1 - share + share * ratio), minlength=len(n))
         return out / np.maximum(n, 1)
 
+    def evidence(self, texts: pa.Array, column: np.ndarray) -> np.ndarray:
+        return self.evidences(texts, column, (self.share,))[0]
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -103,6 +114,25 @@ def count(sample: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in each))
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What modified Kneser-Ney smoothing takes from each count: one amount for 1, 2, and more, by the counts of counts."""
+    n = [1 + int((counts == k).sum()) for k in (1, 2, 3, 4)]  # one more, for few words
+    y = n[0] / (n[0] + 2 * n[1])
+    each = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+    return np.minimum(counts, np.select([counts <= 0, counts == 1, counts == 2], [0.0, each[0], each[1]], each[2]))
+
+
+def likelihoods(counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """P(w | class) for every word, and for an unknown one behind them, of both classes' document counts."""
+    follows = np.append(sum((c > 0).astype(float) for c in counts), 0) + 0.5
+    # Words that only a fold left out holds are unknown here, and an unknown word counts once.
+    shared, out = follows / (follows[follows > 0.5].sum() + 0.5), []
+    for c in counts:
+        taken, size = discounts(c), c.sum()
+        out.append((np.append(c - taken, 0) + taken.sum() * shared) / size if size and taken.sum() else (np.append(c, 0) + shared) / (size + 1))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 0)
     by_hash = labels.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
@@ -113,54 +143,45 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "toxic-sample")
     if not (weigh.get(0) and weigh.get(1)) or {r.toxic for r in sample.select("toxic").distinct().collect()} != {0, 1}:
         return Model(constant=float(weigh.get(1, 0) / max(1, sum(weigh.values()))))
-    counts = written(count(sample), "toxic-counts")
-    kept = [*range(-1, FOLDS)]
-    # Of a model: documents x words of each class, and what the discount takes from them.
-    without = lambda label, fold: "+".join(f"n{label * FOLDS + k}" for k in range(FOLDS) if k != fold)
-    totals = counts.agg(*(F.expr(f"sum({e})").alias(f"{what}{label}_{fold}") for label in (0, 1) for fold in kept for what, e in (("n", without(label, fold)), ("d", f"least({without(label, fold)}, {DISCOUNT}D)")))).first()
-    found = counts.toArrow()  # the words of at most SAMPLE + ORDINARY texts
+    found = count(sample).toArrow()  # the words of at most SAMPLE + ORDINARY texts
     n = np.column_stack([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)]).astype(float)
-    ratios = np.zeros((len(n), 1 + FOLDS))
-    for at, fold in enumerate(kept):
+    ratios = np.zeros((len(n) + 1, 1 + FOLDS))
+    for at, fold in enumerate([-1, *range(FOLDS)]):
         use = [k for k in range(FOLDS) if k != fold]
-        logs, errors = [], 0
-        follows = sum((n[:, [label * FOLDS + k for k in use]].any(axis=1).astype(float) for label in (0, 1)), 0.5)
-        shared = follows / follows.sum()
-        for label in (1, 0):
-            c = n[:, [label * FOLDS + k for k in use]].sum(1)
-            size, taken = totals[f"n{label}_{fold}"] or 1, totals[f"d{label}_{fold}"] or 1
-            logs.append(np.log(np.maximum(c - DISCOUNT, 0) / size + taken / size * shared))
-            errors = errors + 1 / np.maximum(c, 0.5)
-        ratio = logs[0] - logs[1]
-        ratios[:, at] = np.sign(ratio) * np.maximum(np.abs(ratio) - Z * np.sqrt(errors) - MARGIN, 0)
-    speaks = np.flatnonzero(ratios.any(axis=1))
-    model = Model(found.column("word").take(pa.array(speaks)).to_pylist(), ratios[speaks])
-    # Whole counts have smaller errors than counts without a fold, so the same text has more evidence.
-    strength = (ratios * n[:, FOLDS:].sum(1)[:, None]).sum(0)
-    return calibrated(sample, model, weigh, max(1.0, strength[0] / max(strength[1:].mean(), 1e-9)))
-
-
-def calibrated(sample: DataFrame, model: Model, weigh: dict[int, int], gain: float) -> Model:
+        ordinary, toxic = likelihoods(tuple(n[:, [label * FOLDS + k for k in use]].sum(1) for label in (0, 1)))
+        ratios[:, at] = toxic / ordinary
+    return calibrated(sample, Model(found.column("word").to_pylist(), ratios), weigh)
+
+
+def calibrated(sample: DataFrame, model: Model, weigh: dict[int, int]) -> Model:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(shared.value.evidence(batch.column("text"), 1 + fold_of(batch.column("doc_id").to_pylist())))], ["toxic", "x"])
+            each = shared.value.evidences(batch.column("text"), 1 + fold_of(batch.column("doc_id").to_pylist()), SHARES)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(each.T), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    got = sample.mapInArrow(run, "toxic int, x double").toArrow()  # at most SAMPLE + ORDINARY rows
-    y, x = got.column("toxic").to_numpy(), got.column("x").to_numpy() * gain
+    got = sample.mapInArrow(run, "toxic int, x array<double>").toArrow()  # at most SAMPLE + ORDINARY rows
+    y = got.column("toxic").to_numpy()
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(SHARES))
     w = np.where(y == 1, weigh[1] / max(1, (y == 1).sum()), weigh[0] / max(1, (y == 0).sum()))
+    cuts = [best_cut(x[:, k], y, w) for k in range(len(SHARES))]
+    k = max(range(len(SHARES)), key=lambda k: cuts[k][0])
+    model.share, (_, model.centre) = SHARES[k], cuts[k]
+    spread = np.sqrt(np.average((x[:, k] - np.average(x[:, k], weights=w)) ** 2, weights=w))
+    model.slope = 4 / (spread or 1.0)
+    return model
+
+
+def best_cut(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """The largest weighted F1, and the cut between two values of x that gives it."""
     order = np.argsort(-x, kind="stable")
     hits, all_ = np.cumsum((w * y)[order]), np.cumsum(w[order])
     last = np.append(np.diff(x[order]) != 0, True)  # a cut lies between different values
-    f1 = np.where(last & (x[order] > 0), 2 * hits / (all_ + weigh[1]), 0)
+    f1 = np.where(last, 2 * hits / (all_ + (w * y).sum()), 0)
     best = int(f1.argmax())
-    above = x[order][best]
-    below = max(x[order][best + 1], 0) if best + 1 < len(x) else 0.0
-    model.centre = (above + below) / 2 if f1[best] > 0 else float(x.max()) + 1
-    spread = np.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w))
-    model.slope = 4 / max(model.centre, spread, 1e-6)
-    return model
+    above, below = x[order][best], x[order][min(best + 1, len(x) - 1)]
+    return float(f1[best]), float((above + below) / 2 if below < above else above - 1)
 
 
 def scored(df: DataFrame, model: Model) -> DataFrame:

@@ -52,13 +52,24 @@ def test_engine(spark, tmp_path):
     with pytest.raises(BodyTooLarge):
         db.ingest("x" * (9 << 20), 5)
     answer = db.query_json(Query("cpu", 0, 2000))
-    assert answer["result"] == [{"name": 'cpu{host="a"}', "points": [{"t": 1000, "v": 90.0}, {"t": 1001, "v": 70.0}]}, {"name": 'cpu{host="b"}', "points": [{"t": 1000, "v": 1.0}, {"t": 1001, "v": "Infinity"}]}]
+    assert answer["result"] == [{"name": 'cpu{host="a"}', "labels": {"__name__": "cpu", "host": "a"}, "points": [{"t": 1000, "v": 90.0}, {"t": 1001, "v": 70.0}]}, {"name": 'cpu{host="b"}', "labels": {"__name__": "cpu", "host": "b"}, "points": [{"t": 1000, "v": 1.0}, {"t": 1001, "v": "Infinity"}]}]
     assert [(r.series_id, r.name) for r in db.series().collect()] == [(1, 'cpu{host="a"}'), (2, 'cpu{host="b"}')]
+    assert db.lookup("cpu", {"host": "b"}) == 2 and db.lookup("cpu") is None
+    assert [(r.name, r.labels) for r in db.series_by_id(1).collect()] == [('cpu{host="a"}', {"__name__": "cpu", "host": "a"})] and db.series_by_id(9).count() == 0
     assert {r.v for r in db.latest("cpu", 1001).collect()} == {70.0, math.inf}
     db.rules.add(name="busy", metric="cpu", labels={"host": "a"}, window_sec=300, threshold=50)
     assert len(db.check_rules(1001)) == 1 and db.check_rules(1002) == [] and db.recent_alerts().count() == 1
     stats = db.stats()
     assert (stats["series"], stats["total_samples"], stats["rules_firing"], stats["fired_total"]) == (2, 4, 1, 1)
+    db.table.write('aaa{x="1"}', [1000], [1.0])  # comes first by name, last by number
+    assert [(r.series_id, r.name) for r in db.series().collect()] == [(1, 'cpu{host="a"}'), (2, 'cpu{host="b"}'), (3, 'aaa{x="1"}')]
+    again = Engine(spark, f"{tmp_path}/samples")
+    assert again.lookup("aaa", {"x": "1"}) == 3
+    db.rules.rules["r1"].threshold = "many"  # a rule that can't be evaluated any more
+    db.rules.add(name="other", metric="cpu", labels={"host": "a"}, window_sec=300, threshold=50)
+    assert [a["rule_id"] for a in db.check_rules(1002)] == ["r2"] and [e["rule_id"] for e in db.rule_errors] == ["r1"]
+    assert db.stats()["rules_firing"] == 2  # what r1 fires for goes on
+    db.rules.remove("r2")
     db.rules.remove("r1")
     assert db.check_rules(1003) == [] and db.stats()["rules_firing"] == 0
 
@@ -73,6 +84,45 @@ def test_compaction_keeps_rows(spark, tmp_path):
     assert len(list((tmp_path / "samples" / "block_base=0").glob("*.parquet"))) == 1 and len(list((tmp_path / "samples" / "block_base=7200").glob("*.parquet"))) == 4
 
 
+def test_compaction_keeps_what_is_appended_meanwhile(spark, tmp_path, monkeypatch):
+    table = SampleTable(spark, f"{tmp_path}/samples")
+    for k in range(3):
+        table.write("m", [k], [float(k)])
+    from tidemark.sources import store
+
+    whole, late = store.Files.names, []
+
+    def names(self):
+        out = whole(self)
+        if not late:  # an append between the listing and the exchange
+            late.append(1)
+            table.write("m", [100], [100.0])
+        return out
+
+    monkeypatch.setattr(store.Files, "names", names)
+    table.compact(0)
+    monkeypatch.undo()
+    assert sorted(r.t for r in table.read().collect()) == [0, 1, 2, 100]
+
+
+def test_rules_read_their_window_only(spark, tmp_path):
+    table = SampleTable(spark, f"{tmp_path}/samples")
+    table.write("cpu", [1000, 8000, 100_000], [90.0, 1.0, 60.0])
+    values = R.rule_values(table.read(), R.rules_frame(spark, [AlertRule("r", "n", "cpu", window_sec=300)]), 100_100)
+    assert [r.value for r in values.collect()] == [60.0]
+    plan = values._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pruned = [line for line in plan.splitlines() if "PartitionFilters: [" in line]
+    assert pruned and all("block_base" in line and "93600" in line for line in pruned), plan
+    assert "GreaterThanOrEqual(t,99800)" in plan and "EqualTo(metric,cpu)" in plan, plan
+
+
+def test_one_block_is_written_by_many_tasks(spark, tmp_path):
+    rows = generators.hosts(spark, 40, 50).where("metric = 'cpu_usage'")
+    table = SampleTable(spark, f"{tmp_path}/samples")
+    table.append(rows)
+    assert len(list((tmp_path / "samples").glob("block_base=*/*.parquet"))) > 1 and table.read().count() == 2000
+
+
 def test_streaming_ingest_restarts_without_loss(spark, tmp_path):
     (tmp_path / "in").mkdir()
     errors = []
@@ -110,6 +160,7 @@ def test_watch(spark, tmp_path):
         continuous.watch(spark.readStream.text(f"{tmp_path}/tick"), table.read, lambda: R.rules_frame(spark, rules), firing, lambda n: now, lambda a, n: fired.extend(r.series for r in a.collect()), f"{tmp_path}/c", once=True).awaitTermination()
 
     run(1000)
+    firing = continuous.Firing(spark, f"{tmp_path}/firing")  # a restart: what fires is read from the folder
     run(1001)
     assert fired == ["cpu"] and firing.read().count() == 1
     run(5000)  # silent for long: resolves

@@ -12,7 +12,7 @@ from tidemark.model import ERRORS_SHOWN
 from tidemark.operators import catalog, range_query, rules
 from tidemark.operators.range_query import Query
 from tidemark.sources import exposition
-from tidemark.sources.store import SampleTable
+from tidemark.sources.store import SampleTable, SeriesNumbers
 
 BODY_BYTES = 8 << 20
 
@@ -24,6 +24,8 @@ class BodyTooLarge(ValueError):
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.table, self.rules = spark, SampleTable(spark, path), rules.RuleSet()
+        self.numbers = SeriesNumbers(self.table)
+        self.rule_errors: list[dict[str, str]] = []
         self.firing, self.alerts = rules.empty_firing(spark), rules.empty_alerts(spark)
         self.counters = dict.fromkeys(("writes", "samples_received", "queries", "samples_read", "evaluations", "fired_total"), 0)
 
@@ -49,10 +51,11 @@ class Engine:
         return range_query.range_query(self.table.read(), q)
 
     def query_json(self, q: Query) -> dict[str, Any]:
-        """The answer as plain values; numbers that JSON doesn't know are texts."""
-        points = range_query.nested(self.query(q)).orderBy("series").collect()
+        """One answer as plain values, series in order of their numbers; numbers that JSON doesn't know are texts. It
+        comes to the driver whole, for an answer that one client reads; `query` gives it as rows."""
+        points = range_query.ordered(range_query.nested(self.query(q)), self.numbers.current()).collect()
         plain = lambda v: v if math.isfinite(v) else "NaN" if math.isnan(v) else "Infinity" if v > 0 else "-Infinity"
-        result = [{"name": r.series, "points": [{"t": p.t, "v": plain(p.v)} for p in r.points]} for r in points]
+        result = [{"name": r.series, "labels": dict(r.labels), "points": [{"t": p.t, "v": plain(p.v)} for p in r.points]} for r in points]
         self.counters["samples_read"] += sum(len(r["points"]) for r in result)
         return {"metric": q.metric, "agg": q.agg, "step": q.step, "start": q.start, "end": q.end, "result": result}
 
@@ -60,14 +63,25 @@ class Engine:
         return range_query.latest(self.table.read(), metric, now, window)
 
     def series(self) -> DataFrame:
-        return catalog.with_ids(catalog.series(self.table.read())).orderBy("series_id")
+        """All series with their lasting numbers."""
+        return self.numbers.current().orderBy("series_id")
+
+    def series_by_id(self, series_id: int) -> DataFrame:
+        return catalog.by_id(self.numbers.current(), series_id)
+
+    def lookup(self, metric: str, labels: dict[str, str] | None = None) -> int | None:
+        """The number of the series with exactly these labels."""
+        found = catalog.by_name(self.numbers.current(), metric, labels).first()
+        return found.series_id if found else None
 
     def check_rules(self, now: int) -> list[dict[str, Any]]:
         """Evaluates all rules; the alerts are few and come back as plain values."""
         if not self.rules.rules:
             self.firing = rules.empty_firing(self.spark)
             return []
-        new, firing, _ = rules.evaluate(self.table.read(), self.rules.frame(self.spark), self.firing, now)
+        frame = self.rules.frame(self.spark)
+        self.rule_errors = [r.asDict() for r in rules.rejected(frame.where("enabled")).collect()]
+        new, firing, _ = rules.evaluate(self.table.read(), frame, self.firing, now)
         rows = new.collect()
         # Rules and what they fire for are few; small frames without a history keep later checks short.
         self.firing = self.spark.createDataFrame(firing.collect(), firing.schema)
@@ -81,5 +95,4 @@ class Engine:
 
     def stats(self) -> dict[str, Any]:
         stored = catalog.ingest_stats(self.table.read()).first().asDict()
-        on = sum(r.enabled for r in self.rules.rules.values())
-        return stored | self.counters | {"rules_rules": len(self.rules.rules), "rules_enabled": on, "rules_firing": self.firing.count(), "rules_alerts": self.alerts.count()}
+        return stored | self.counters | {f"rules_{k}": v for k, v in self.rules.stats().items()} | {"rules_firing": self.firing.count(), "rules_alerts": self.alerts.count()}

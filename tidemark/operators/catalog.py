@@ -6,35 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.samples import block_base, largest, smallest
+from tidemark.functions.selector import labels_column, series_name
 from tidemark.model import BLOCK_SAMPLES
 
+#: Names that bounds are chosen from, and ranges of names that are numbered apart.
+SAMPLE, RANGES = 4096, 64
+
 
 def series(samples: DataFrame) -> DataFrame:
     """Every series once, in order of its name: name, metric, labels."""
     return samples.groupBy(F.col("series").alias("name")).agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
 
 
-def with_ids(catalog: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Adds series_id. Known series keep theirs; new ones follow the largest, in order of name. Numbers are counted per
+def with_ids(catalog: DataFrame, known: DataFrame | None = None, first: int = 1) -> DataFrame:
+    """Adds series_id, from `first` on. Known series keep theirs; new ones follow the largest, in order of name. Numbers are counted per
     range of names first, so only the counts of the ranges meet in one place."""
-    top = 0
+    top = first - 1
     if known is not None:
-        top = known.agg(F.max("series_id")).first()[0] or 0
+        top = known.agg(F.max("series_id")).first()[0] or top
         old, catalog = catalog.join(known.select("name", "series_id"), "name"), catalog.join(known.select("name"), "name", "left_anti")
-    ranged = catalog.repartitionByRange("name").withColumn("part", F.spark_partition_id()).sortWithinPartitions("name")
+    # Bounds of the ranges, from a sample of names chosen by their hash: the same wherever they are used.
+    some = sorted(r.name for r in catalog.select("name").orderBy(F.xxhash64("name"), "name").limit(SAMPLE).collect())
+    bounds = F.array(*map(F.lit, some[:: max(1, len(some) // RANGES)])) if some else F.array().cast("array<string>")
+    ranged = catalog.withColumn("part", F.size(F.filter(bounds, lambda b: b <= F.col("name"))))
     ranged = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("name")))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    # A row for each range.
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     new = ranged.join(F.broadcast(before), "part").withColumn("series_id", F.lit(top).cast("long") + F.col("before") + F.col("own")).select(*catalog.columns, "series_id")
     return new if known is None else old.select(new.columns).unionByName(new)
 
 
+def by_id(ids: DataFrame, series_id: int) -> DataFrame:
+    """Name and labels of one series, the metric among the labels; no row if the id isn't known."""
+    return ids.where(F.col("series_id") == series_id).select("series_id", "name", labels_column(F.col("name")).alias("labels"))
+
+
+def by_name(ids: DataFrame, metric: str, labels: dict[str, str] | None = None) -> DataFrame:
+    """The series with exactly these labels, whatever their order; no row if there is none."""
+    return ids.where(F.col("name") == series_name(metric, labels))
+
+
 def label_stats(catalog: DataFrame) -> DataFrame:
     """One row: series, label keys, and pairs of key and value; the metric counts as a label."""
     pairs = catalog.select(F.explode(F.map_concat("labels", F.create_map(F.lit("__name__"), "metric"))).alias("key", "value"))
     pairs = pairs.groupBy("key").agg(F.countDistinct("value").alias("values"))
     both = pairs.agg(F.count("*").alias("label_keys"), F.sum("values").alias("label_pairs"))
-    return catalog.agg(F.count("*").alias("series")).crossJoin(both)
+    n = catalog.agg(F.count("*").alias("series"))
+    return n.withColumn("one", F.lit(1)).join(both.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def zone_map(samples: DataFrame) -> DataFrame:

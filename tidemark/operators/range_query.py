@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.samples import aggregate, block_base, bucket
-from tidemark.functions.selector import Matcher, equalities, matches, parse_selector
+from tidemark.functions.selector import Matcher, equalities, labels_column, matches, parse_selector
 from tidemark.model import AGGREGATES
 
 LATEST_WINDOW = 300
@@ -72,12 +72,36 @@ def latest(samples: DataFrame, metric: str, now: int, window: int = LATEST_WINDO
     return rows.groupBy("series").agg(F.max_by("t", order).alias("t"), F.max_by("v", order).alias("v"))
 
 
+def with_labels(result: DataFrame) -> DataFrame:
+    """Adds labels, the metric among them, to rows of series. They are read from the canonical name of the few rows of an
+    answer, so nothing is joined or grouped for them."""
+    return result.withColumn("labels", labels_column(F.col("series")))
+
+
+def ordered(result: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """In order of series (by id, where rows of series_id and name are given), time and arrival."""
+    if ids is None:
+        return result.orderBy("series", *(c for c in ("t", "seq") if c in result.columns))
+    numbered = result.join(ids.select(F.col("name").alias("series"), "series_id"), "series")
+    return numbered.orderBy("series_id", *(c for c in ("t", "seq") if c in result.columns))
+
+
 def nested(result: DataFrame) -> DataFrame:
-    """One row for each series, its points in order of time. A series' points of one answer must fit into memory."""
+    """series, labels and points: one row for each series, its points in order of time. A series' points of one answer
+    must fit into memory; nested_blocks has no such bound."""
+    order = [c for c in ("t", "seq", "v") if c in result.columns]
+    points = F.array_sort(F.collect_list(F.struct(*order)))
+    out = result.groupBy("series").agg(F.transform(points, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v"))).alias("points"))
+    return with_labels(out).select("series", "labels", "points")
+
+
+def nested_blocks(result: DataFrame) -> DataFrame:
+    """The same with a row for each series and block of time, in whose order the points of a series follow one another."""
     order = [c for c in ("t", "seq", "v") if c in result.columns]
     points = F.array_sort(F.collect_list(F.struct(*order)))
-    return result.groupBy("series").agg(F.transform(points, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v"))).alias("points"))
+    out = result.groupBy("series", block_base(F.col("t")).alias("block_base")).agg(F.transform(points, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v"))).alias("points"))
+    return with_labels(out).select("series", "labels", "block_base", "points")
 
 
 def as_json(result: DataFrame) -> DataFrame:
-    return nested(result).select("series", F.to_json(F.struct(F.col("series").alias("name"), "points")).alias("json"))
+    return nested(result).select("series", F.to_json(F.struct(F.col("series").alias("name"), "labels", "points")).alias("json"))

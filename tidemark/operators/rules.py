@@ -7,6 +7,7 @@ over the whole range instead.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -16,10 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.functions.samples import aggregate, bucket, compare
+from tidemark.functions.samples import aggregate, block_base, bucket, compare
 from tidemark.model import ALERTS, COMPARATORS, FIRING, RECENT_ALERTS, RULE_AGGREGATES, RULES
 
 
+#: What a rule must meet, for a rule in Python and for a row of a table.
+DEMANDS = (
+    ("comparator must be one of " + " ".join(COMPARATORS), lambda r: r.op in COMPARATORS, lambda: F.col("op").isin(*COMPARATORS)),
+    ("aggregate must be one of " + " ".join(RULE_AGGREGATES), lambda r: r.agg in RULE_AGGREGATES, lambda: F.col("agg").isin(*RULE_AGGREGATES)),
+    ("window_sec must be > 0", lambda r: r.window_sec > 0, lambda: F.col("window_sec") > 0),
+    ("min_count must be >= 1", lambda r: r.min_count >= 1, lambda: F.col("min_count") >= 1),
+    ("threshold must be a number", lambda r: r.threshold is not None, lambda: F.col("threshold").isNotNull()),
+)
+
+
 @dataclass
 class AlertRule:
     id: str
@@ -35,15 +46,10 @@ class AlertRule:
     created_at: int = 0
 
     def __post_init__(self) -> None:
-        if self.op not in COMPARATORS:
-            raise ValueError(f"unknown comparator {self.op!r}")
-        if self.agg not in RULE_AGGREGATES:
-            raise ValueError(f"unknown aggregate {self.agg!r}")
-        if self.window_sec <= 0:
-            raise ValueError("window_sec must be > 0")
-        if self.min_count < 1:
-            raise ValueError("min_count must be >= 1")
         self.threshold = float(self.threshold)
+        for message, holds, _ in DEMANDS:
+            if not holds(self):
+                raise ValueError(f"{message}: {self}")
 
     def as_dict(self) -> dict:
         camel = {"window_sec": "windowSec", "min_count": "minCount", "created_at": "createdAt"}
@@ -70,11 +76,45 @@ class RuleSet:
         return self.rules.pop(rule_id, None) is not None
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([tuple(asdict(r).values()) for r in self.rules.values()], RULES)
+        return rules_frame(spark, list(self.rules.values()))
+
+    def stats(self) -> dict[str, int]:
+        return {"rules": len(self.rules), "enabled": sum(r.enabled for r in self.rules.values())}
 
 
 def rules_frame(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(r).values()) for r in rules], RULES)
+    """Rules as rows. A rule changed into something that no row can hold becomes a row that `rejected` names."""
+
+    def row(r: AlertRule) -> tuple:
+        known = {"window_sec": int, "threshold": float, "min_count": int, "created_at": int, "enabled": bool}
+        out = asdict(r)
+        for name, kind in known.items():
+            try:
+                out[name] = kind(out[name])
+            except (TypeError, ValueError):
+                out[name] = None
+        return tuple(True if name == "enabled" and value is None else value for name, value in out.items())
+
+    return spark.createDataFrame([row(r) for r in rules], RULES)
+
+
+def usable(rules: DataFrame) -> DataFrame:
+    return rules.where(functools.reduce(Column.__and__, (F.coalesce(holds(), F.lit(False)) for _, _, holds in DEMANDS)))
+
+
+def rejected(rules: DataFrame) -> DataFrame:
+    """rule_id and reason of the rules that can't be evaluated; they disturb no other rule."""
+    reason = F.coalesce(*(F.when(~F.coalesce(holds(), F.lit(False)), F.lit(message)) for message, _, holds in DEMANDS))
+    return rules.select(F.col("id").alias("rule_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def in_windows(samples: DataFrame, rules: DataFrame, now: int) -> DataFrame:
+    """The samples that any rule may look at: bounds on time, block and metric that reach the scan. Rules are a handful."""
+    few = rules.select("metric", "window_sec").distinct().collect()
+    if not few:
+        return samples.limit(0)
+    first, last = now - max(r.window_sec for r in few), now + 1
+    return samples.where(F.col("t").between(first, last) & F.col("block_base").between(block_base(F.lit(first)), block_base(F.lit(last))) & F.col("metric").isin(sorted({r.metric for r in few})))
 
 
 def selects(labels: Column, needs: Column, absent: Column) -> Column:
@@ -86,7 +126,9 @@ def selects(labels: Column, needs: Column, absent: Column) -> Column:
 def rule_values(samples: DataFrame, rules: DataFrame, now: int, mode: str = "bucket", seq_follows_time: bool = False) -> DataFrame:
     """rule_id, series, labels, value and samples of every enabled rule and series with samples in its window. rules is
     a handful of rows that users typed, so every task gets them; each aggregate is made once, whichever rule needs it."""
-    r = rules.where("enabled").select(F.col("id").alias("rule_id"), F.col("metric").alias("rule_metric"), F.filter(F.map_entries("labels"), lambda e: e["value"] != "").alias("needs"), F.map_keys(F.map_filter("labels", lambda _, v: v == "")).alias("absent"), "agg", F.col("window_sec").cast("long").alias("w"))
+    rules = usable(rules).where("enabled")
+    samples = in_windows(samples, rules, now)
+    r = rules.select(F.col("id").alias("rule_id"), F.col("metric").alias("rule_metric"), F.filter(F.map_entries("labels"), lambda e: e["value"] != "").alias("needs"), F.map_keys(F.map_filter("labels", lambda _, v: v == "")).alias("absent"), "agg", F.col("window_sec").cast("long").alias("w"))
     longest = F.broadcast(r)
     rows = samples.join(longest, (F.col("metric") == F.col("rule_metric")) & F.col("t").between(F.lit(now) - F.col("w"), F.lit(now + 1)) & selects(F.col("labels"), F.col("needs"), F.col("absent")))
     # A window of one second asks for the samples themselves, whatever the aggregate: the last one counts.
@@ -102,7 +144,7 @@ def rule_values(samples: DataFrame, rules: DataFrame, now: int, mode: str = "buc
 
 def active(values: DataFrame, rules: DataFrame) -> DataFrame:
     """Values that meet their rule, and have as many samples as it asks for."""
-    r = F.broadcast(rules.where("enabled").select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "metric", "agg", "window_sec", "op", "threshold", "min_count"))
+    r = F.broadcast(usable(rules).where("enabled").select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "metric", "agg", "window_sec", "op", "threshold", "min_count"))
     return values.join(r, "rule_id").where((F.col("samples") >= F.col("min_count")) & compare(F.col("value"), F.col("op"), F.col("threshold")))
 
 
@@ -115,13 +157,15 @@ def alert_message(name: pd.Series, agg: pd.Series, metric: pd.Series, window: pd
 
 def evaluate(samples: DataFrame, rules: DataFrame, firing: DataFrame, now: int, mode: str = "bucket", seq_follows_time: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Alerts, what fires now, and what has resolved. Only a change into firing alerts. What isn't active any more, has
-    too few samples or none, or belongs to a disabled or removed rule resolves, and may fire again later."""
+    too few samples or none, or belongs to a disabled or removed rule resolves, and may fire again later. A rule that
+    can't be evaluated (see `rejected`) changes nothing: what it fires for goes on, and the other rules go their way."""
+    stuck = rejected(rules.where("enabled")).select("rule_id")
     on = active(rule_values(samples, rules, now, mode, seq_follows_time), rules)
     keys = ["rule_id", "series"]
     new = on.join(firing.select(*keys), keys, "left_anti")
     message = alert_message("rule_name", "agg", "metric", "window_sec", "value", "op", "threshold")
     alerts = new.select("rule_id", "rule_name", "metric", "series", "labels", "value", "threshold", "op", F.lit(now).cast("long").alias("fired_at"), message.alias("message"))
-    now_firing = on.select(*keys)
+    now_firing = on.select(*keys).unionByName(firing.select(*keys).join(F.broadcast(stuck), "rule_id", "left_semi"))
     return alerts, now_firing, firing.select(*keys).join(now_firing, keys, "left_anti")
 
 
@@ -160,4 +204,4 @@ def rules_from_json(text: str) -> Iterator[AlertRule]:
         yield AlertRule(**{plain.get(k, k): v for k, v in spec.items()})
 
 
-__all__ = ["AlertRule", "RuleSet", "active", "alert_message", "as_json", "empty_alerts", "empty_firing", "evaluate", "recent", "replay_edges", "rule_values", "rules_frame", "rules_from_json"]
+__all__ = ["AlertRule", "RuleSet", "active", "alert_message", "as_json", "empty_alerts", "empty_firing", "evaluate", "recent", "rejected", "replay_edges", "rule_values", "rules_frame", "rules_from_json", "usable"]

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.samples import bucket, largest, smallest, unzigzag, zigzag
-from tidemark.functions.selector import series_column
+from tidemark.engine import Engine
+from tidemark.functions.selector import labels_column, series_column
 from tidemark.operators import catalog, codec, range_query, rules
 from tidemark.operators.range_query import Query
 from tidemark.operators.rules import AlertRule
 from tidemark.sources import exposition, tables
+from tidemark.sources.store import SampleTable, SeriesNumbers, scratch
+from tidemark.streaming import continuous, ingest
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +68,11 @@ def ds_step1_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_query.range_query(tables.events(spark, sf_dir), Query("event_value", FIRST, LAST, step=1, agg="count"))
 
 
-@query(f"WITH {EVENTS}, b AS (SELECT min(t) AS a, max(t) AS z FROM s) SELECT series, t, v, seq FROM s, b WHERE t BETWEEN a + 1 AND z - 1 OR t IN (a, z)")
+@query(f"WITH {EVENTS}, b AS (SELECT quantile_disc(t, 0.25) AS a, quantile_disc(t, 0.75) AS z FROM s) SELECT series, t, v, seq FROM s, b WHERE t > a AND t < z OR t = a OR t = z")
 def range_inclusive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range whose ends lie on samples inside the table: both are in."""
     samples = tables.events(spark, sf_dir)
-    first, last = samples.agg(F.min("t"), F.max("t")).first()
+    first, last = samples.agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY t)").cast("long"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY t)").cast("long")).first()
     return range_query.range_query(samples, Query("event_value", first, last))
 
 
@@ -330,3 +334,236 @@ def series_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("series").orderBy("t", "seq")
     gaps = tables.events(spark, sf_dir).withColumn("gap", F.col("t") - F.lag("t").over(w))
     return gaps.groupBy("series").agg(F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > DAY), 1).otherwise(0)).cast("long").alias("sessions"))
+
+
+# Labels, numbers and order of results.
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v, event_type, CAST(user_id AS VARCHAR) AS user, 'event_value' AS metric FROM s WHERE t BETWEEN {MONTH[0]} AND {MONTH[1]}")
+def range_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = range_query.with_labels(range_query.range_query(tables.events(spark, sf_dir, *MONTH), Query("event_value", *MONTH)))
+    return rows.select("series", "t", "v", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user"].alias("user"), F.col("labels")["__name__"].alias("metric"))
+
+
+@query(f"WITH {EVENTS} SELECT series, event_type, CAST(user_id AS VARCHAR) AS user, count(*) AS n, CAST(sum(t) AS BIGINT) AS times FROM s GROUP BY ALL")
+def nested_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = range_query.nested(range_query.range_query(tables.events(spark, sf_dir), Query("event_value", FIRST, LAST)))
+    times = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + p["t"])
+    return rows.select("series", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user"].alias("user"), F.size("points").cast("long").alias("n"), times.alias("times"))
+
+
+@query(f"WITH {EVENTS} SELECT series, t - t % 7200 AS block_base, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM s GROUP BY ALL")
+def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = range_query.nested_blocks(range_query.range_query(tables.events(spark, sf_dir), Query("event_value", FIRST, LAST)))
+    return rows.select("series", "block_base", F.size("points").cast("long").alias("n"), F.col("points")[0]["t"].alias("first_t"), F.element_at("points", -1)["t"].alias("last_t"))
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v FROM s")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of every series, read back."""
+    rows = range_query.as_json(range_query.range_query(tables.events(spark, sf_dir), Query("event_value", FIRST, LAST)))
+    back = F.from_json("json", "name string, labels map<string,string>, points array<struct<t: long, v: double>>")
+    return rows.select(back.alias("j")).select(F.col("j.name").alias("series"), F.explode("j.points").alias("p")).select("series", "p.t", "p.v")
+
+
+@query(f"WITH {EVENTS}, n AS (SELECT series, row_number() OVER (ORDER BY series) AS series_id FROM (SELECT DISTINCT series FROM s)) SELECT series_id, s.series, t, v FROM s JOIN n USING (series) WHERE t BETWEEN {MONTH[0]} AND {MONTH[1]} ORDER BY series_id, t, seq")
+def result_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = catalog.with_ids(catalog.series(tables.events(spark, sf_dir)))
+    rows = range_query.range_query(tables.events(spark, sf_dir, *MONTH), Query("event_value", *MONTH))
+    return range_query.ordered(rows, ids).select("series_id", "series", "t", "v")
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v, seq FROM s ORDER BY series, t, seq LIMIT 100")
+def range_ordered_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred rows of an ordered answer: the limit is the feature."""
+    return range_query.ordered(range_query.range_query(tables.events(spark, sf_dir), Query("event_value", FIRST, LAST))).limit(100)
+
+
+@query(f"WITH {EVENTS}, n AS (SELECT series, row_number() OVER (ORDER BY series) AS series_id FROM (SELECT DISTINCT series FROM s)) SELECT DISTINCT series_id, series AS name, event_type, CAST(user_id AS VARCHAR) AS user FROM s JOIN n USING (series) WHERE series_id = 7")
+def series_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.by_id(catalog.with_ids(catalog.series(tables.events(spark, sf_dir))), 7)
+    return rows.select("series_id", "name", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user"].alias("user"))
+
+
+@query(f"WITH {EVENTS}, n AS (SELECT series, row_number() OVER (ORDER BY series) AS series_id FROM (SELECT DISTINCT series FROM s)) SELECT DISTINCT series_id, series AS name FROM s JOIN n USING (series) WHERE event_type = 'click' AND user_id = (SELECT max(user_id) FROM events WHERE event_type = 'click')")
+def series_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.events(spark, sf_dir)
+    user = samples.where(F.col("labels")["event_type"] == "click").agg(F.max(F.col("labels")["user"].cast("long"))).first()[0]
+    return catalog.by_name(catalog.with_ids(catalog.series(samples)), "event_value", {"user": str(user), "event_type": "click"}).select("series_id", "name")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT series, 'event_value' AS metric, event_type, CAST(user_id AS VARCHAR) AS user, CAST(3 AS INTEGER) AS n FROM s")
+def identity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.series(tables.events(spark, sf_dir)).select(F.col("name").alias("series"), labels_column(F.col("name")).alias("l"))
+    return rows.select("series", F.col("l")["__name__"].alias("metric"), F.col("l")["event_type"].alias("event_type"), F.col("l")["user"].alias("user"), F.size("l").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT series, count(*) AS n FROM s WHERE event_type = 'click' AND user_id = 1 GROUP BY series UNION ALL SELECT series, count(*) FROM s WHERE event_type = 'view' GROUP BY series")
+def match_label_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = (Query("event_value", FIRST, LAST, {"event_type": "click", "user": "1"}), Query("event_value", FIRST, LAST, {"event_type": "view", "absent": ""}))
+    one, other = (range_query.selected(tables.events(spark, sf_dir), q).groupBy("series").agg(F.count("*").alias("n")) for q in queries)
+    return one.unionByName(other)
+
+
+# The stored table: writes, scans, upkeep, listeners, numbers.
+
+
+def filled(spark: SparkSession, sf_dir: str, name: str) -> SampleTable:
+    """The events as a stored table, in two batches: those of odd numbers come late, with old times."""
+    table, samples = SampleTable(spark, scratch(spark, name)), tables.events(spark, sf_dir)
+    table.append(samples.where("seq % 2 = 0"))
+    table.append(samples.where("seq % 2 = 1"))
+    return table
+
+
+@query(f"WITH {EVENTS} SELECT series, t - t % 7200 AS block_base, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, round(sum(v), 4) AS v FROM s GROUP BY ALL")
+def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filled(spark, sf_dir, "stored").read()
+    return rows.groupBy("series", "block_base").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.round(F.sum("v"), 4).alias("v"))
+
+
+@query(f"WITH {EVENTS} SELECT series, t - t % 3600 AS t, arg_max(v, seq) AS v FROM s WHERE t BETWEEN {MONTH[0]} AND {MONTH[1]} GROUP BY ALL")
+def stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range query over stored blocks, which prunes them; late samples are there."""
+    return range_query.range_query(filled(spark, sf_dir, "stored").read(), Query("event_value", *MONTH, step=3600, agg="last"))
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v, seq FROM s")
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = filled(spark, sf_dir, "compacted")
+    largest_block = table.read().groupBy("block_base").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "block_base").first()
+    table.compact(largest_block.block_base)
+    return table.read().select("series", "t", "v", "seq")
+
+
+@query("SELECT 'nation{region=\"' || n_regionkey || '\"}' AS series, CAST(n_nationkey AS BIGINT) AS t, CAST(n_nationkey * 2 AS DOUBLE) AS v FROM nation")
+def single_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One write for each region's series, by name."""
+    table = SampleTable(spark, scratch(spark, "single"))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("k"))
+    for r in rows.collect():  # a row for each region
+        table.write(f'nation{{region="{r.n_regionkey}"}}', list(r.k), [2.0 * k for k in r.k])
+    return table.read().select("series", "t", "v")
+
+
+@query("SELECT event_id % 2 AS batch, count(*) AS n, count(DISTINCT (event_type, user_id)) AS series FROM events GROUP BY event_id % 2")
+def notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber to the table sees: each batch once, after it is stored."""
+    table, samples, seen = SampleTable(spark, scratch(spark, "notified")), tables.events(spark, sf_dir), []
+    table.subscribe(lambda batch: seen.append(batch.agg(F.min(F.col("seq") % 2).alias("batch"), F.count("*").alias("n"), F.countDistinct("series").alias("series"))))
+    for k in (0, 1):
+        table.append(samples.where(F.col("seq") % 2 == k))
+    return seen[0].unionByName(seen[1])
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT series, row_number() OVER (ORDER BY series) AS series_id FROM (SELECT DISTINCT series FROM s WHERE event_type = 'view')),
+b AS (SELECT series, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY series) AS series_id FROM (SELECT DISTINCT series FROM s WHERE event_type <> 'view'))
+SELECT series_id, series AS name FROM a UNION ALL SELECT series_id, series FROM b""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers stay when series arrive that come before others by name."""
+    table, samples = SampleTable(spark, scratch(spark, "numbers")), tables.events(spark, sf_dir)
+    table.append(samples.where(F.col("labels")["event_type"] == "view"))
+    SeriesNumbers(table).current()
+    table.append(samples.where(F.col("labels")["event_type"] != "view"))
+    return SeriesNumbers(table).current().select("series_id", "name")
+
+
+@query("SELECT count(*) FILTER (n_nationkey % 5 <> 0) AS accepted, count(*) FILTER (n_nationkey % 5 = 0) AS skipped, count(DISTINCT n_regionkey) FILTER (n_nationkey % 5 <> 0) AS series, min(n_nationkey + 1) FILTER (n_nationkey % 5 = 0) AS first_error FROM nation")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on one body, of a line for each nation: good and bad lines, series, first error."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()
+    body = "\n".join(f'nation{{region="{n.n_regionkey}"}} {n.n_nationkey if n.n_nationkey % 5 else "none"}' for n in names)
+    report = Engine(spark, scratch(spark, "report")).ingest(body, 60)
+    first = int(report["errors"][0].split()[1].rstrip(":"))
+    return spark.createDataFrame([(report["accepted"], report["skipped"], report["series"], first)], "accepted long, skipped long, series long, first_error long")
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v FROM s")
+def default_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without a time take the one that their batch gives."""
+    rows = tables.events(spark, sf_dir).select(F.concat_ws(" ", "series", F.col("v").cast("string")).alias("line"), F.lit(1).alias("lineno"), F.col("t").alias("arrived"))
+    return exposition.good(exposition.parsed(rows, F.col("arrived"))).select("series", "t", "v")
+
+
+@query("SELECT 'line ' || event_id || ': bad value ' || chr(39) || 'x' || chr(39) AS error, event_id AS lineno FROM events WHERE event_id % 3 = 0 ORDER BY event_id LIMIT 20")
+def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty errors of a report: the limit is the feature."""
+    line = F.when(F.col("event_id") % 3 == 0, F.lit("m x")).otherwise(F.lit("m 1"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("lineno"), line.alias("line"))
+    return exposition.bad(exposition.parsed(rows, 7)).orderBy("lineno").limit(20).select("error", "lineno")
+
+
+# Rules: which take part, and what they leave.
+
+
+@query(f"WITH {EVENTS}, {rule_sql(NOW)} SELECT 'r1' AS rule_id, series, round(value, 4) AS value, '>' AS op, CAST({NOW} AS BIGINT) AS fired_at FROM x{NOW} WHERE value > 60")
+def rule_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fired(spark, sf_dir, [rule(), rule(id="r2", enabled=False)])
+
+
+@query(f"WITH {EVENTS}, {rule_sql(NOW)} SELECT 'r1' AS rule_id, series, round(value, 4) AS value, '>' AS op, CAST({NOW} AS BIGINT) AS fired_at FROM x{NOW} WHERE value > 60")
+def rule_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that can't be evaluated are set aside, and the others fire."""
+    bad = [rule(id=f"r{k}") for k in (2, 3, 4)]
+    bad[0].agg, bad[1].window_sec, bad[2].threshold = "median", 0, "high"
+    return fired(spark, sf_dir, [*bad, rule()])
+
+
+@query(f"WITH {EVENTS}, {rule_sql(NOW)} SELECT 'r1' AS rule_id, series, CAST({NOW} AS BIGINT) AS fired_at, 'high' AS name FROM x{NOW} WHERE value > 60")
+def alert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, _, _ = rules.evaluate(tables.events(spark, sf_dir, NOW - DAY, NOW + 1), rules.rules_frame(spark, [rule()]), rules.empty_firing(spark), NOW, seq_follows_time=True)
+    get = lambda c: F.get_json_object("json", f"$.{c}")
+    return rules.as_json(alerts).select(get("ruleId").alias("rule_id"), get("series").alias("series"), get("firedAt").cast("long").alias("fired_at"), get("ruleName").alias("name"))
+
+
+@query(f"""WITH {EVENTS}, {rule_sql(NOW)} SELECT rule_id, series FROM (SELECT 'r' || k AS rule_id, series, value, samples, k FROM x{NOW}, (VALUES (1), (2)) AS r(k))
+WHERE k = 1 AND value > 60 OR k = 2 AND value > 20 AND series LIKE '%event_type="click"%'""")
+def rules_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rules, with labels of their own, in one evaluation; ids are given in order."""
+    some = rules.RuleSet()
+    spec = {"name": "high", "metric": "event_value", "window_sec": DAY}
+    some.add(**spec, threshold=60.0)
+    some.add(**spec, threshold=20.0, labels={"event_type": "click"})
+    alerts, _, _ = rules.evaluate(tables.events(spark, sf_dir, NOW - DAY, NOW + 1), some.frame(spark), rules.empty_firing(spark), NOW, seq_follows_time=True)
+    return alerts.select("rule_id", "series")
+
+
+# Streams.
+
+
+@query(f"WITH {EVENTS} SELECT series, t - t % 3600 AS t, count(*) AS n, max(v) AS high, min(v) AS low, round(sum(v), 4) AS total FROM s GROUP BY series, t - t % 3600")
+def rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The continuous rollup over all events as a stream: the last state of each bucket equals the batch's."""
+    source, out = scratch(spark, "stream"), scratch(spark, "rollup")
+    tables.events(spark, sf_dir).write.parquet(source)
+    stream = continuous.rollup(continuous.sample_stream(spark, source), 3600)
+    store = lambda df, n: df.withColumn("n_batch", F.lit(n)).write.mode("append").parquet(out)
+    stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("series", "t").agg(*(F.max_by(c, "n_batch").alias(c) for c in ("count", "max", "min", "sum")))
+    return last.select("series", "t", F.col("count").alias("n"), F.col("max").alias("high"), F.col("min").alias("low"), F.round("sum", 4).alias("total"))
+
+
+@query(f"WITH {EVENTS} SELECT series, t, v FROM s")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposition files that land one after another, the newest first: all samples are stored once, over a restart too."""
+    landing, table, checkpoint = (scratch(spark, k) for k in ("landing", "table", "checkpoint"))
+    lines = exposition.rendered(tables.events(spark, sf_dir).where("seq % 2 = 1")), exposition.rendered(tables.events(spark, sf_dir).where("seq % 2 = 0"))
+    for k, part in enumerate(lines):
+        part.write.mode("append").text(landing)
+        ingest.start(spark, landing, table, checkpoint, once=True).awaitTermination()
+    ingest.start(spark, landing, table, checkpoint, once=True).awaitTermination()
+    return ingest.stored(spark, table).select("series", "t", "v")
+
+
+@query(f"{TICKS} SELECT 'r1' AS rule_id, series, CAST({BEFORE} AS BIGINT) AS fired_at FROM a UNION ALL SELECT 'r1', series, CAST({NOW} AS BIGINT) FROM z WHERE series NOT IN (SELECT series FROM a)")
+def watch_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two evaluations of a stream of ticks with a restart between them: what fired before doesn't fire again."""
+    ticks, state, checkpoint, out = (scratch(spark, k) for k in ("ticks", "firing", "checkpoint", "alerts"))
+    samples = tables.events(spark, sf_dir, BEFORE - DAY, NOW + 1)
+    for now in (BEFORE, NOW):
+        spark.createDataFrame([(str(now),)], "value string").write.mode("append").text(ticks)
+        firing = continuous.Firing(spark, state)  # nothing is remembered but the folder
+        store = lambda alerts, n: alerts.write.mode("append").parquet(out)
+        continuous.watch(spark.readStream.text(ticks), lambda: samples, lambda: rules.rules_frame(spark, [rule()]), firing, lambda n, now=now: now, store, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(out).select("rule_id", "series", "fired_at")

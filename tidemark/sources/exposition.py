@@ -25,17 +25,21 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(f"^{NUMBER}$"), F.coalesce(special, text.try_cast("double")))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns behind a generator of one row, so that later steps use their values and don't evaluate them again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def parsed(lines: DataFrame, default_ts: int | Column, compat: bool = False) -> DataFrame:
     """lines: rows of lineno and line. default_ts: the time of lines without one. Adds metric, labels, series, t, v and error (null where the line is good)."""
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    lines = lines.withColumn("text", line).where("text <> '' AND NOT startswith(text, '#')")
+    lines = once(lines, {"text": F.regexp_replace("line", r"^\s+|\s+$", "")}).where("text <> '' AND NOT startswith(text, '#')")
     fields = PLAIN_FIELDS if compat else FIELDS
-    name, value, millis = (F.regexp_extract("text", fields, i) for i in (1, 2, 3))
-    lines = lines.withColumns({"name": name, "value": value, "millis": millis})
+    lines = once(lines, {name: F.regexp_extract("text", fields, i) for i, name in enumerate(("name", "value", "millis"), 1)})
     braces = F.col("name").contains("{")
-    lines = lines.withColumns({"metric": F.regexp_extract("name", r"^([^{]*)", 1), "body": F.when(braces, F.regexp_extract("name", r"^[^{]*\{(.*)\}$", 1)).otherwise("")})
+    body = F.when(braces & F.endswith("name", F.lit("}")), F.expr("substring(name, instr(name, '{') + 1, length(name) - instr(name, '{') - 1)")).otherwise("")
+    lines = once(lines, {"metric": F.when(braces, F.expr("substring(name, 1, instr(name, '{') - 1)")).otherwise(F.col("name")), "body": body})
     every = lambda group: F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all("body", F.lit(MATCHER), F.lit(group)))
-    lines = lines.withColumns({"keys": every(1), "operators": every(2), "raw": every(3), "rest": F.when(F.col("body") == "", "").otherwise(F.translate(F.regexp_replace("body", MATCHER, ""), ", \t", ""))})
+    lines = once(lines, {"keys": every(1), "operators": every(2), "raw": every(3), "rest": F.when(F.col("body") == "", "").otherwise(F.translate(F.regexp_replace("body", MATCHER, ""), ", \t", ""))})
     keys, operators = F.col("keys"), F.col("operators")
     # The last of equal labels wins: an entry goes if a later one has its key.
     plain = F.map_from_arrays(keys, F.transform("raw", lambda v: F.regexp_replace(v, r"\\(.)", "$1")))
@@ -43,7 +47,8 @@ def parsed(lines: DataFrame, default_ts: int | Column, compat: bool = False) ->
     last = F.filter(entries, lambda e: ~F.array_contains(F.slice(keys, e["i"] + 1, F.size(keys)), e["key"]))
     latest = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], F.regexp_replace(e["value"], r"\\(.)", "$1"))))
     labels = F.when(F.size(keys) == 0, F.create_map().cast("map<string,string>")).when(F.size(F.array_distinct(keys)) == F.size(keys), plain).otherwise(latest)
-    v, stamp = number(F.col("value")), F.when(F.col("millis").rlike(r"^[+-]?\d+$"), F.col("millis").try_cast("long"))
+    lines = once(lines, {"labels": labels, "v": number(F.col("value")), "stamp": F.when(F.col("millis").rlike(r"^[+-]?\d+$"), F.col("millis").try_cast("long"))})
+    v, stamp = F.col("v"), F.col("stamp")
     bad_name = ~F.col("metric").rlike(f"^{NAME}$") | (braces & ((F.size(keys) == 0) | (F.col("rest") != "") | F.exists(operators, lambda o: o != "=") | F.array_contains(keys, "__name__")))
     at = F.concat(F.lit("line "), F.col("lineno").cast("string"), F.lit(": "))
     error = (
@@ -53,7 +58,7 @@ def parsed(lines: DataFrame, default_ts: int | Column, compat: bool = False) ->
         .when(stamp <= 0, F.concat(at, F.lit("timestamp must be positive")))
         .when(bad_name, F.concat(at, F.lit("bad series '"), "name", F.lit("'")))
     )
-    lines = lines.withColumns({"error": error, "labels": labels, "v": v})
+    lines = lines.withColumn("error", error)
     lines = lines.withColumn("t", F.when(F.col("millis") == "", (default_ts if isinstance(default_ts, Column) else F.lit(default_ts)).cast("long")).otherwise(F.floor(stamp / 1000)))
     return lines.select("lineno", "metric", series_column(F.col("metric"), F.col("labels")).alias("series"), "labels", "t", "v", "error")
 

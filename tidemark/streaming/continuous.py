@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.samples import largest, smallest
 from tidemark.model import FIRING, SAMPLES
 from tidemark.operators import rules as R
+from tidemark.sources.store import Files
 
 
 def sample_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -28,19 +29,20 @@ def rollup(samples: DataFrame, step: int, lateness: str = "1 hour") -> DataFrame
 
 
 class Firing:
-    """What fires, as one small table per evaluation; the last one counts."""
+    """What fires, as one small table per evaluation in a folder; the last whole one counts, after a restart too."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.last = spark, path.rstrip("/"), None
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self) -> DataFrame:
-        if self.last is None:
-            return R.empty_firing(self.spark)
-        return self.spark.read.schema(FIRING).parquet(f"{self.path}/{self.last}")
+    def read(self, before: int | None = None) -> DataFrame:
+        """What the last evaluation has left, or the last one before a number: an evaluation that runs again begins where it began."""
+        folder = Files(self.spark, self.path)
+        done = [int(n) for n in folder.names() if n.isdigit() and folder.exists(f"{n}/_SUCCESS")]
+        done = [n for n in done if before is None or n < before]
+        return self.spark.read.schema(FIRING).parquet(f"{self.path}/{max(done)}") if done else R.empty_firing(self.spark)
 
     def write(self, firing: DataFrame, number: int) -> None:
         firing.write.mode("overwrite").parquet(f"{self.path}/{number}")
-        self.last = number
 
 
 def watch(trigger: DataFrame, samples: Callable[[], DataFrame], rules: Callable[[], DataFrame], firing: Firing, clock: Callable[[int], int], on_alerts: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
@@ -48,7 +50,7 @@ def watch(trigger: DataFrame, samples: Callable[[], DataFrame], rules: Callable[
     silent resolve as well."""
 
     def tick(_: DataFrame, number: int) -> None:
-        alerts, now_firing, _ = R.evaluate(samples(), rules(), firing.read(), clock(number))
+        alerts, now_firing, _ = R.evaluate(samples(), rules(), firing.read(number), clock(number))
         on_alerts(alerts, number)
         firing.write(now_firing, number)
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.model import SAMPLES
 from tidemark.sources import exposition
+from tidemark.sources.store import by_block
 
 
 def landing(spark: SparkSession, folder: str, files_at_once: int = 1000) -> DataFrame:
@@ -34,7 +35,7 @@ def start(spark: SparkSession, folder: str, table: str, checkpoint: str, on_batc
         lines = exposition.lines_of(batch.withColumnRenamed("value", "body"))
         rows = exposition.parsed(lines, F.lit(now) if now is not None else F.unix_timestamp("arrived"))
         good = exposition.good(rows).withColumn("batch", F.lit(number))
-        good.repartition("block_base").sortWithinPartitions("block_base", "series", "t", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "block_base").parquet(table)
+        by_block(good).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "block_base").parquet(table)
         if on_batch:
             own = spark.read.schema(f"{SAMPLES}, batch long").parquet(table).where(F.col("batch") == number).drop("batch")
             on_batch(own, exposition.bad(rows), number)

@@ -1,21 +1,31 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
-
-Every word, and the start of a text, is a context with a restaurant of its own; a token is a customer of its context's
-restaurant. All context restaurants share one parent, in which each of their tables is a customer; the parent's parent
-is uniform over the known words and one unknown. Seats are drawn customer by customer from the Gibbs conditional given
-all others: a customer of dish w in context u opens a table with weight (strength + discount * tables(u)) * P(w), or
-joins a table of its dish with weight (customers(u, w) - discount * tables(u, w)). SEATINGS seatings are drawn, and the
-predictive probabilities of a text's tokens are averaged over them. Discounts come from the counts of counts.
-
-How it runs: texts are encoded once, in blocks of bounded size, with a dictionary of word hashes for each block. A block
-counts its own words and word pairs first and sends each distinct one once, packed by hash bucket, to be summed; a block
-is answered only where the sum differs from its own count. Random numbers are hashes of pair, seating and customer, so
-every block that needs a seat draws the same one, and a pair's tables enter the sums from one block, its owner. No
-vocabulary meets in one task, and the driver sees a few totals. Words are told apart by 64-bit hashes, pairs by 48 bits
-within their bucket.
+"""Language-model scoring with a hierarchical Pitman-Yor model of words in the context of the two words before.
+
+Every pair of words is a context with a restaurant of its own, in which the words that follow are dishes and tokens are
+customers. Its parent is the restaurant of its second word, in which each table of a child is a customer; the parent of
+these is one root restaurant, and the root's is uniform over the known words and one unknown. Seats are sampled by
+Gibbs: dish by dish, all customers of a dish are removed and seated anew given all else (`seating.py`: the conditional of
+the number of tables, whatever the number of customers), in sweeps over the contexts of two words, then of one, then the
+root. SWEEPS sweeps are burnt in, then SAMPLES seatings are kept, and the predictive probabilities of a text's tokens are
+averaged over them. Discounts come from the counts of counts of each level; strengths are STRENGTH.
+
+How it runs: texts are encoded once, in blocks of bounded size. Words get whole numbers, the frequent small ones, with one
+exchange of each block's dictionary. A block sends its distinct triples, sorted and packed, to buckets: all triples that
+end in the same two words meet in one bucket, and so do those of a middle word, unless it is so frequent that it is split
+by last words. A bucket merges its triples once, is written, and holds the restaurants of its two lower levels; sweeps
+run inside buckets. Between rounds of sweeps, sums of tables are exchanged: for each word to the root, and for contexts of
+split words (whose customers several buckets hold) to their totals. Within a round a bucket sees what other buckets hold
+as it was when the round began, and a half of its dishes sees the other half as drawn before; so sweeps are parallel, not
+strictly one customer after the other. Random numbers are hashes of the dish, level and sweep: a lost task draws the same
+seats again. In the end a bucket answers each block's triples in the order it was asked, with no keys.
+
+Messages between a block and a bucket carry thousands of triples each, as a bucket takes about BUCKET_KEYS tokens and
+buckets are as many as that needs. No vocabulary meets in one task, and the driver sees a few totals. Words are told
+apart by 64-bit hashes. A dish of one pair of words has at most a row for each word before it, so no bucket holds more of
+a hot pair than the vocabulary.
 
 Tokens of a text: the words `[^\\x20\\x09-\\x0D]+`, lower-cased (A-Z), then one end. A null or empty text has the end
-alone. Rows of equal doc_id are all kept, each counts. Without training rows all probabilities are uniform.
+alone. Rows of equal doc_id are all kept, each counts. Without training rows all probabilities are uniform. Empty table:
+empty result. Columns other than doc_id, held and text are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,23 +35,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import seating
 from tidemark.llm.common import bucketed, by_bytes, documents, remainder, words, written
 
-#: Bytes of text in a block, and of those that are split into words at once; keys of a bucket, about.
-BLOCK_BYTES, PART_BYTES, BUCKET_KEYS = 8 << 20, 2 << 20, 1_000_000
-SEATINGS = 2
+#: Bytes of text in a block, and of those that are split into words at once; tokens of a bucket, about.
+BLOCK_BYTES, PART_BYTES, BUCKET_KEYS = 8 << 20, 2 << 20, 1 << 20
+#: Sweeps before the first seating is kept, and seatings kept.
+SWEEPS, SAMPLES = 2, 2
 STRENGTH = 1.0
-#: Guess of a context's tables before any seat is drawn: its customers to this power.
-TABLES = 0.75
-#: Customers who are seated one by one; those after them go in groups, a tenth of the seated at once.
-SINGLY = 48
 END, START = np.uint64(0x45), np.uint64(0x53)
-WORDS, PAIRS = 0, 1
-LOW = np.uint64((1 << 48) - 1)
+#: Answers are logarithms to base 10, in these parts.
+PARTS = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,24 +60,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, compressed: the high bytes, mostly zero, lie together."""
-    data = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    """Whole numbers byte by byte, compressed: the high bytes, mostly zero, lie together."""
+    wide = 8 if len(values) and int(values.max()) >> 32 else 4
+    data = values.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+    return bytes([wide]) + len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    data = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
-
-
-def packed(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
+    wide = data[0]
+    raw = pa.Codec("zstd").decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(wide, -1).T).view(f"<u{wide}")[:, 0].astype(np.int64)
 
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens long, hashes binary, ids binary"
@@ -126,9 +125,39 @@ def encoded(df: DataFrame) -> DataFrame:
     return bucketed(df.select("doc_id", "held", "text").mapInArrow(run, BLOCK_SCHEMA), "lm-blocks", "block")
 
 
+#: kind: what a row is about; place: the bucket or block it goes to; sender: the block or bucket it comes from.
+ROW = "kind int, place int, sender long, data array<binary>"
+ROW_TYPES = {"kind": pa.int32(), "place": pa.int32(), "sender": pa.int64(), "data": pa.list_(pa.binary())}
+WORDS, TRIPLES, SEATS, SUMS, TOTALS = 0, 1, 2, 3, 4
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(ROW_TYPES.values())], names=list(ROW_TYPES))
+
+
+def dealt(kind: int, at: np.ndarray, places: int, sender: int, numbers: list[np.ndarray], raw: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """The order in which numbers are dealt out to places, and a row for each place that gets any. raw: 64-bit hashes sent along as they are."""
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(places + 1))
+    rows = []
+    for k in range(places):
+        if cut[k] < cut[k + 1]:
+            part = order[cut[k] : cut[k + 1]]
+            rows.append((kind, k, sender, ([raw[part].tobytes()] if raw is not None else []) + [planes(x[part]) for x in numbers]))
+    return order, rows
+
+
+def by_sender(table: pa.Table, kind: int) -> list[dict]:
+    return sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: (r["sender"], r["place"]))
+
+
+def joined(rows: list[dict], column: int) -> np.ndarray:
+    return np.concatenate([from_planes(r["data"][column]) for r in rows])
+
+
 @dataclass
 class Block:
-    """What the tokens of a block give, the same each time: distinct pairs by key, with context, word and own training count."""
+    """What the tokens of a block give, the same each time."""
 
     number: int
     doc_ids: pa.Array
@@ -136,257 +165,469 @@ class Block:
     sizes: np.ndarray
     hashes: np.ndarray
     ids: np.ndarray
-    word_count: np.ndarray
-    pair_of: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    key: np.ndarray
-    pair_count: np.ndarray
 
     @classmethod
-    def read(cls, row: dict, buckets: int) -> Block:
-        held, sizes = np.array(row["held"], dtype=bool), np.array(row["sizes"], dtype=np.int64)
-        hashes, ids = np.frombuffer(row["hashes"], dtype=np.uint64), from_planes(row["ids"])
-        trained = np.repeat(~held, sizes)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[np.cumsum(sizes) - sizes] = 0
-        size = len(hashes)
-        column = pa.array(before * size + ids).dictionary_encode()
-        both, pair_of = column.dictionary.to_numpy(), column.indices.to_numpy()
-        context, word = (both // size).astype(np.int32), (both % size).astype(np.int32)
-        h = mixed(hashes[context] * np.uint64(3) ^ mixed(hashes)[word])
-        key = bucket_of(h, buckets) << np.uint64(48) | h & LOW
-        count = lambda at, n: np.bincount(at[trained], minlength=n)
-        return cls(row["block"], row["doc_ids"], held, sizes, hashes, ids, count(ids, size), pair_of, context, word, key, count(pair_of, len(key)))
-
-
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
-
-
-ASKED = "kind int, bucket int, block long, keys binary, numbers array<binary>"
-
-
-def asks(block: Block, kind: int, keys: np.ndarray, numbers: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows that bring keys and their numbers to the buckets: words with whole hashes, pairs with the low bits."""
-    at = bucket_of(mixed(keys), buckets) if kind == WORDS else keys >> np.uint64(48)
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    cut = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            part = order[cut[k] : cut[k + 1]]
-            yield kind, k, block.number, keys[part].tobytes() if kind == WORDS else packed(keys[part] & LOW), [planes(x[part]) for x in numbers]
-
-
-def as_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["kind", "bucket", "block", "keys", "numbers"])
+    def read(cls, row: dict) -> Block:
+        return cls(row["block"], row["doc_ids"], np.array(row["held"], dtype=bool), np.array(row["sizes"], dtype=np.int64), np.frombuffer(row["hashes"], dtype=np.uint64), from_planes(row["ids"]))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training tokens, and how often a word is the one before a token, for each word of the dictionary."""
+        trained = np.repeat(~self.held, self.sizes)
+        uses = np.bincount(self.ids, minlength=len(self.hashes))
+        uses[0] = len(self.sizes)
+        return np.bincount(self.ids[trained], minlength=len(self.hashes)), uses
+
+    def word_places(self, places: int) -> np.ndarray:
+        return (mixed(self.hashes) % np.uint64(places)).astype(np.int64)
+
+    def triples(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Dictionary places a, b and w of the distinct triples, in the order of the words' ranks for b, w, a; training count of each, and each token's triple."""
+        first = np.cumsum(self.sizes) - self.sizes
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[first] = 0
+        earlier = np.empty_like(before)
+        earlier[1:] = before[:-1]
+        earlier[first] = 0
+        order, new, at = sorted_runs(rank[before], rank[self.ids], rank[earlier])
+        head = order[new]
+        count = np.bincount(at[np.repeat(~self.held, self.sizes)], minlength=len(head))
+        return earlier[head], before[head], self.ids[head], count, at
+
+
+def sorted_runs(b: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by b, w, a; where a new triple begins in it; and the number of each row's triple."""
+    order = np.lexsort((a, w, b))
+    new = runs(b[order], w[order], a[order])
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order, new, at
+
+
+def bucket_of(b: np.ndarray, w: np.ndarray, splits: np.ndarray, places: int) -> np.ndarray:
+    part = mixed(w.astype(np.uint64)) % splits.astype(np.uint64)
+    return (mixed(mixed(b.astype(np.uint64)) + part) % np.uint64(places)).astype(np.int64)
+
+
+def splits_of(uses: np.ndarray) -> np.ndarray:
+    """Parts of a word's contexts: one, unless the word is used more often than a bucket should hold."""
+    return np.maximum(1, -(-uses // BUCKET_KEYS))
+
+
+def numbered(table: pa.Table, places: int) -> pa.Table:
+    """Numbers the words of a place, frequent ones first, and answers each block: number, training tokens, uses, in the order it has asked."""
+    rows = by_sender(table, WORDS)
+    keys = [np.frombuffer(r["data"][0], dtype=np.uint64) for r in rows]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    train, uses = (np.bincount(at, weights=joined(rows, k), minlength=len(distinct)).astype(np.int64) for k in (1, 2))
+    number = np.empty(len(distinct), dtype=np.int64)
+    number[np.lexsort((distinct, -uses))] = np.arange(len(distinct))
+    number = number * places + rows[0]["place"]
+    out = [(TOTALS, -1, rows[0]["place"], [planes(np.array([int((train > 0).sum()), int(train.sum())]))])]
+    for r, own in zip(rows, np.split(at, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+        out.append((WORDS, r["place"], r["sender"], [planes(x[own]) for x in (number, train, uses)]))
+    return rows_of(out)
+
+
+def known(block: Block, rows: list[dict], places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, training tokens and uses of a block's words, from the answers of all places."""
+    order = np.argsort(block.word_places(places), kind="stable")
+    rows = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["place"])
+    out = []
+    for k in range(3):
+        x = np.empty(len(order), dtype=np.int64)
+        x[order] = joined(rows, k)
+        out.append(x)
+    return tuple(out)
 
 
-def summed(table: pa.Table) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of a bucket, in the order of blocks: kind, bucket, each row's block, first number and keys; distinct keys' places; own numbers; sums."""
-    table = table.sort_by("block")
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys = [np.frombuffer(x, dtype=np.uint64) if kind == WORDS else unpacked(x) for x in table.column("keys").to_pylist()]
-    numbers = table.column("numbers").to_pylist()
-    own = [np.concatenate([from_planes(x[i]) for x in numbers]) for i in range(len(numbers[0]))]
-    blocks = np.repeat(table.column("block").to_numpy(), [len(k) for k in keys])
-    keys = np.concatenate(keys)
-    distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return kind, bucket, blocks, keys, first, at, own, [np.bincount(at, weights=x, minlength=len(distinct)).astype(np.int64) for x in own]
-
+@dataclass
+class Asked:
+    """What a block asks the buckets, the same each time: its triples by the numbers of their words, in order of bucket, then b, w, a."""
+
+    a: np.ndarray
+    b: np.ndarray
+    w: np.ndarray
+    count: np.ndarray
+    uses: np.ndarray
+    cuts: np.ndarray
+    #: Each token's triple.
+    at: np.ndarray
 
-def answers(kind: int, bucket: int, blocks: np.ndarray, keys: np.ndarray, send: np.ndarray, numbers: list[np.ndarray]) -> list[tuple]:
-    at = np.flatnonzero(send)
-    cuts = np.flatnonzero(np.diff(blocks[at])) + 1
-    return [(kind, bucket, int(blocks[part[0]]), keys[part].tobytes() if kind == WORDS else packed(keys[part]), [planes(x[part]) for x in numbers]) for part in np.split(at, cuts) if len(part)]
+    @classmethod
+    def of(cls, block: Block, number: np.ndarray, uses: np.ndarray, places: int) -> Asked:
+        rank = np.empty(len(number), dtype=np.int64)
+        rank[np.argsort(number)] = np.arange(len(number))
+        a, b, w, count, at = block.triples(rank)
+        bucket = bucket_of(number[b], number[w], splits_of(uses[b]), places)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return cls(number[a[order]], number[b[order]], number[w[order]], count[order], uses[b[order]], np.searchsorted(bucket[order], np.arange(places + 1)), place[at])
+
+    def rows(self, sender: int) -> list[tuple]:
+        out = []
+        for k, (i, j) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
+            if i < j:
+                a, b, w = self.a[i:j], self.b[i:j], self.w[i:j]
+                out.append((TRIPLES, k, sender, [*packed(a, b, w), planes(self.uses[i:j][runs(b)]), planes(self.count[i:j])]))
+        return out
 
 
-def statistics(kind: int, bucket: int, values: list[int]) -> tuple:
-    return kind, bucket, -1, b"", [planes(np.array([v & 0xFFFFFFFF, v >> 32])) for v in values]
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins, in sorted columns."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
 
 
-def totals(answered: DataFrame, kind: int, n: int) -> list[int]:
-    """The sums of what all buckets say of themselves: a row of n numbers for each bucket."""
-    out = [0] * n
-    for row in answered.where((F.col("block") == -1) & (F.col("kind") == kind)).select("numbers").toLocalIterator():
-        for i, x in enumerate(row.numbers):
-            low, high = from_planes(bytes(x)).tolist()
-            out[i] += low + (high << 32)
+def steps(values: np.ndarray, restart: np.ndarray) -> np.ndarray:
+    """Differences from the value before; the value itself where a run begins."""
+    out = values.copy()
+    out[1:] = np.where(restart[1:], values[1:], values[1:] - values[:-1])
     return out
 
 
-def counted(table: pa.Table) -> pa.Table:
-    """Sums training counts. Answers: 2 * sum, and 1 more for the block that owns the key, where a block can't know it."""
-    kind, bucket, blocks, keys, first, at, (own,), (total,) = summed(table)
-    alone = np.flatnonzero((own == total[at]) & (own > 0))
-    owner = first.copy()
-    owner[at[alone]] = alone
-    mine = owner[at] == np.arange(len(at))
-    rows = answers(kind, bucket, blocks, keys, own != total[at], [2 * total[at] + mine])
-    rows.append(statistics(kind, bucket, [int((total > 0).sum()), int(total.sum()), int((total == 1).sum()), int((total == 2).sum())]))
-    return pa.Table.from_batches(as_batches(rows))
-
-
-def seated(table: pa.Table) -> pa.Table:
-    """Sums tables: of each word as a context, and as a dish among all contexts, for each seating."""
-    kind, bucket, blocks, keys, _, at, own, total = summed(table)
-    differs = np.zeros(len(at), dtype=bool)
-    for x, t in zip(own, total, strict=True):
-        differs |= x != t[at]
-    rows = answers(kind, bucket, blocks, keys, differs, [t[at] for t in total])
-    values = []
-    for k in range(SEATINGS):
-        dish = total[2 * k + 1]
-        values += [int(dish.sum()), int((dish > 0).sum()), int((dish == 1).sum()), int((dish == 2).sum())]
-    rows.append(statistics(kind, bucket, values))
-    return pa.Table.from_batches(as_batches(rows))
-
-
-def filled(keys: np.ndarray, own: list[np.ndarray], rows: list[dict], kind: int) -> list[np.ndarray]:
-    """A block's own numbers, replaced where a bucket has answered."""
-    out = [x.astype(np.int64).copy() for x in own]
-    rows = [r for r in rows if r["kind"] == kind]
-    if not rows:
-        return out
-    got = [np.frombuffer(r["keys"], dtype=np.uint64) if kind == WORDS else unpacked(r["keys"]) | np.uint64(r["bucket"]) << np.uint64(48) for r in rows]
-    at = pc.index_in(pa.array(keys), pa.array(np.concatenate(got))).to_numpy(zero_copy_only=False)
-    mine = np.flatnonzero(~np.isnan(at)) if at.dtype.kind == "f" else np.arange(len(at))
-    at = at[mine].astype(np.int64)
-    for i, x in enumerate(out):
-        x[mine] = np.concatenate([from_planes(r["numbers"][i]) for r in rows])[at]
-    return out
+def sums(steps_: np.ndarray, restart: np.ndarray) -> np.ndarray:
+    """The inverse of steps."""
+    total = np.cumsum(steps_)
+    first = np.flatnonzero(restart)
+    return total - (total[first] - steps_[first])[np.cumsum(restart) - 1]
 
 
-def seats(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray, seating: int) -> np.ndarray:
-    """Tables of each dish when its customers sit down one after another; weight: what a new table weighs."""
-    tables = np.minimum(customers, 1)
-    alive = np.flatnonzero(customers > 1)
-    seed = mixed(keys + mixed(np.full(1, 1 + seating, dtype=np.uint64)))
-    n = 1
-    while len(alive):
-        group = 1 if n < SINGLY else n // 10
-        now = np.minimum(group, customers[alive] - n)
-        new = weight[alive] / (weight[alive] + n - discount * tables[alive])
-        u = (mixed(seed[alive] + np.uint64(n)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        if group == 1:
-            tables[alive] += u < new
-        else:  # a group's new tables: their mean, rounded up or down at random
-            tables[alive] += np.minimum(now, np.floor(now * new + u)).astype(np.int64)
-        n += group
-        alive = alive[customers[alive] > n]
-    return tables
+def packed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[bytes]:
+    """Triples in order of b, w, a."""
+    new_b, new_w = runs(b), runs(b, w)
+    return [planes(steps(b, np.zeros(len(b), dtype=bool))), planes(steps(w, new_b)), planes(steps(a, new_w))]
 
 
-def discount(ones: int, twos: int) -> float:
-    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+def unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, w, and the uses of b."""
+    b = np.cumsum(from_planes(data[0]))
+    new = runs(b)
+    w = sums(from_planes(data[1]), new)
+    return sums(from_planes(data[2]), runs(b, w)), b, w, from_planes(data[3])[np.cumsum(new) - 1]
 
 
 @dataclass
-class Totals:
-    tokens: int
+class Model:
+    """The fixed numbers: words known, training tokens, buckets, and discounts of the levels of two words, one, none."""
+
     types: int
-    pair_discount: float
-    #: Of each seating: customers of the parent, its tables, and its discount.
-    parent: list[tuple[int, int, float]]
+    tokens: int
+    places: int
+    discounts: tuple[float, float, float | None] = (0.5, 0.5, 0.5)
+
+    @property
+    def base(self) -> float:
+        return 1 / (self.types + 1)
+
+
+def discount(ones: int, twos: int) -> float:
+    return (ones + 0.5) / (ones + 2 * twos + 1)
+
+
+class Bucket:
+    """The restaurants of a bucket: its triples, dishes of the contexts of two words; and the pairs that end them, dishes of the contexts of one."""
+
+    def __init__(self, number: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, uses: np.ndarray, count: np.ndarray):
+        self.number, self.a, self.b, self.w, self.count = number, a, b, w, count
+        self.pair = np.cumsum(runs(b, w)) - 1
+        first = np.flatnonzero(runs(b, w))
+        self.pair_b, self.pair_w = b[first], w[first]
+        self.lower = np.cumsum(runs(self.pair_b)) - 1  # the restaurant of a pair's first word
+        first_b = np.flatnonzero(runs(self.pair_b))
+        self.lower_b, self.split = self.pair_b[first_b], uses[first[first_b]] > BUCKET_KEYS
+        order = np.lexsort((a, b))
+        new = runs(b[order], a[order])
+        self.upper = np.empty(len(a), dtype=np.int64)  # the restaurant of a triple's first two words
+        self.upper[order] = np.cumsum(new) - 1
+        head = order[new]
+        self.upper_a, self.upper_b = a[head], b[head]
+        self.seed = mixed(mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) + w.astype(np.uint64))
+        self.pair_seed = mixed(mixed(self.pair_b.astype(np.uint64)) + self.pair_w.astype(np.uint64))
+        self.shared_upper, self.shared_lower = np.flatnonzero(self.split[self.lower[self.pair[head]]]), np.flatnonzero(self.split)
+        self.words, self.word_of = np.unique(self.pair_w, return_inverse=True)
+
+    def first_seats(self) -> tuple[np.ndarray, np.ndarray]:
+        tables = np.minimum(self.count, 1)
+        return tables, np.minimum(self.pair_customers(tables), 1)
+
+    def pair_customers(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair, weights=tables, minlength=len(self.pair_b)).astype(np.int64)
+
+    def per_upper(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.upper, weights=x, minlength=len(self.upper_a)).astype(np.int64)
+
+    def per_lower(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.lower, weights=x, minlength=len(self.lower_b)).astype(np.int64)
+
+    def reports(self, seatings: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Keys and numbers of what is summed over buckets: tables of each word for the root; customers and tables of shared restaurants, of two words and of one."""
+        word, upper, lower = [], [self.per_upper(self.count)[self.shared_upper]], []
+        for tables, pair_tables in seatings:
+            word.append(np.bincount(self.word_of, weights=pair_tables, minlength=len(self.words)).astype(np.int64))
+            upper.append(self.per_upper(tables)[self.shared_upper])
+            lower += [self.per_lower(self.pair_customers(tables))[self.shared_lower], self.per_lower(pair_tables)[self.shared_lower]]
+        two = mixed(mixed(self.upper_b[self.shared_upper].astype(np.uint64)) ^ self.upper_a[self.shared_upper].astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+        one = mixed(self.lower_b[self.shared_lower].astype(np.uint64)) & ~np.uint64(1)
+        return [(self.words.astype(np.uint64), word), (two, upper), (one, lower)]
+
+    def asks(self, seatings: list[tuple[np.ndarray, np.ndarray]], places: int) -> list[tuple]:
+        out = []
+        for k, (keys, numbers) in enumerate(self.reports(seatings)):
+            if len(keys):
+                out += dealt(SUMS + 2 * k, (mixed(keys) % np.uint64(places)).astype(np.int64), places, self.number, numbers, keys)[1]
+        return out
+
+    def heard(self, rows: list[dict], places: int) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        """What summed() has answered to asks(), in its order: numbers of words, of shared restaurants of two words and of one; and the root's totals."""
+        out = []
+        for k, (keys, _) in enumerate(self.reports([])):
+            order = np.argsort((mixed(keys) % np.uint64(places)).astype(np.int64), kind="stable")
+            mine = sorted((r for r in rows if r["kind"] == SUMS + 2 * k), key=lambda r: r["place"])
+            got = []
+            for column in range(len(mine[0]["data"]) - (k == 0) if mine else 0):
+                x = np.empty(len(keys), dtype=np.int64)
+                x[order] = joined(mine, column)
+                got.append(x)
+            out.append(got)
+        return out, sum(from_planes(r["data"][-1]) for r in rows if r["kind"] == SUMS)
+
+    def states(self, model: Model, rows: list[dict]) -> tuple[list[State], np.ndarray]:
+        """The kept seatings with what the other buckets hold, and the root's totals."""
+        (words_, upper, lower), root = self.heard(rows, model.places)
+        seats = [from_planes(x) for r in rows if r["kind"] == SEATS for x in r["data"]] or list(self.first_seats())
+        none = np.zeros(0, dtype=np.int64)
+        out = []
+        for s in range(len(seats) // 2):
+            shared = (upper[0], upper[1 + s]) if upper else (none, none), (lower[2 * s], lower[2 * s + 1]) if lower else (none, none)
+            out.append(State(self, model, seats[2 * s], seats[2 * s + 1], (words_[2 * s], words_[2 * s + 1]), *shared, (int(root[2 * s]), int(root[2 * s + 1]))))
+        return out, root
+
+
+class State:
+    """A bucket's seats and what it knows of the others, for one seating."""
+
+    def __init__(self, bucket: Bucket, model: Model, tables: np.ndarray, pair_tables: np.ndarray, word: tuple[np.ndarray, np.ndarray], upper: tuple[np.ndarray, np.ndarray], lower: tuple[np.ndarray, np.ndarray], root: tuple[int, int]):
+        self.k, self.model, self.tables, self.pair_tables = bucket, model, tables, pair_tables
+        self.word_customers, self.word_tables, self.root, self.sent = word[0], word[1], root, pair_tables.copy()
+        own = [bucket.per_upper(bucket.count), bucket.per_upper(tables), bucket.per_lower(bucket.pair_customers(tables)), bucket.per_lower(pair_tables)]
+        self.upper_all, self.upper_other, self.customers_other, self.lower_other = own[0].copy(), np.zeros_like(own[1]), np.zeros_like(own[2]), np.zeros_like(own[3])
+        at = bucket.shared_upper
+        self.upper_all[at], self.upper_other[at] = upper[0], upper[1] - own[1][at]
+        at = bucket.shared_lower
+        self.customers_other[at], self.lower_other[at] = lower[0] - own[2][at], lower[1] - own[3][at]
+
+    def root_share(self, without: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The root's probability of each pair's word without some of its customers; and what its numerator and denominator are but for new customers."""
+        k, (customers, tables), d = self.k, self.root, self.model.discounts[2]
+        return share(self.word_customers[k.word_of] - without, self.word_tables[k.word_of], customers - without, tables, d, self.model.base)
+
+    def pair_share(self, pair: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.k
+        customers = k.pair_customers(self.tables)
+        lower = k.lower[pair]
+        whole = (k.per_lower(customers) + self.customers_other)[lower]
+        tables = (k.per_lower(self.pair_tables) + self.lower_other)[lower]
+        left = customers[pair] - without
+        # Without any customer left, the pair's own tables are no customers of the root.
+        parent = np.where(left > 0, self.root_share(0)[0][pair], self.root_share(self.sent)[0][pair])
+        return share(left, self.pair_tables[pair], whole - without, tables, self.model.discounts[1], parent)
+
+    def sweep(self, number: int) -> None:
+        """All dishes once: half after half of the triples, then of the pairs."""
+        k, (d2, d1, _) = self.k, self.model.discounts
+        for half in (0, 1):
+            at = np.flatnonzero((k.count > 1) & ((k.seed & np.uint64(1)) == half))
+            if len(at):
+                old = self.tables[at]
+                rest = (k.per_upper(self.tables) + self.upper_other)[k.upper[at]] - old
+                self.tables[at] = seating.drawn(k.count[at], rest, *self.pair_share(k.pair[at], old), d2, STRENGTH, uniform(k.seed[at], 2, number))
+        customers = k.pair_customers(self.tables)
+        self.pair_tables = np.where(customers > 1, np.clip(self.pair_tables, 1, np.maximum(customers, 1)), np.minimum(customers, 1))
+        for half in (0, 1):
+            at = np.flatnonzero((customers > 1) & ((k.pair_seed & np.uint64(1)) == half))
+            if len(at):
+                rest = (k.per_lower(self.pair_tables) + self.lower_other)[k.lower[at]] - self.pair_tables[at]
+                first, more, over = (x[at] for x in self.root_share(self.sent))
+                self.pair_tables[at] = seating.drawn(customers[at], rest, first, more, over, d1, STRENGTH, uniform(k.pair_seed[at], 1, number))
+
+    def predictive(self) -> np.ndarray:
+        """P(w | a, b) of every triple."""
+        k, d = self.k, self.model.discounts[0]
+        parent = self.pair_share(np.arange(len(k.pair_b)), np.zeros(len(k.pair_b), dtype=np.int64))[0][k.pair]
+        tables = (k.per_upper(self.tables) + self.upper_other)[k.upper]
+        return (k.count - d * self.tables + (STRENGTH + d * tables) * parent) / (STRENGTH + self.upper_all[k.upper])
+
+
+def share(customers: np.ndarray, tables: np.ndarray, whole: np.ndarray, all_tables: np.ndarray, discount: float, parent: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A restaurant's probability of a dish; and, for the probability once m more customers have come, (more + m) / (over + m)."""
+    now = np.minimum(tables, np.maximum(customers, 0))
+    rest = (STRENGTH + discount * (all_tables - tables + now)) * parent
+    over = STRENGTH + whole
+    first = (np.maximum(customers, 0) - discount * now + rest) / over
+    new = now == 0
+    more = customers - discount * np.maximum(now, 1) + rest + np.where(new, discount * parent, 0)
+    return first, np.maximum(more, -1 + 1e-12), over
+
+
+def uniform(seed: np.ndarray, level: int, sweep: int) -> np.ndarray:
+    return (mixed(seed + mixed(np.full(1, 3 * sweep + level, dtype=np.uint64))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def merged(table: pa.Table, model: Model) -> pa.Table:
+    """The triples of a bucket, each once, with the place of each block's triples among them; the first seats' reports; counts of counts."""
+    rows = by_sender(table, TRIPLES)
+    parts = [unpacked(r["data"]) for r in rows]
+    a, b, w, uses = (np.concatenate([x[i] for x in parts]) for i in range(4))
+    order, new, at = sorted_runs(b, w, a)
+    head = order[new]
+    a, b, w, uses = a[head], b[head], w[head], uses[head]
+    count = np.bincount(at, weights=joined(rows, 4), minlength=len(head)).astype(np.int64)
+    number = rows[0]["place"]
+    maps = [planes(steps(x, np.arange(len(x)) == 0)) for x in np.split(at, np.cumsum([len(x[0]) for x in parts])[:-1])]
+    bucket = Bucket(number, a, b, w, uses, count)
+    seats = bucket.first_seats()
+    customers = bucket.pair_customers(seats[0])
+    ones = [int((x == k).sum()) for x in (count, customers) for k in (1, 2)]
+    data = [*packed(a, b, w), planes(uses[runs(b)]), planes(count), planes(np.array([r["sender"] for r in rows])), *maps]
+    return rows_of([(TRIPLES, number, number, data), (TOTALS, -1, number, [planes(np.array(ones))]), *bucket.asks([seats], model.places)])
+
+
+def summed(table: pa.Table, model: Model, sweep: int) -> pa.Table:
+    """Sums the reports of all buckets and answers each in the order it has asked; of words, with tables of the root drawn
+    for them (one for each word at first), and its totals to every bucket."""
+    out, place = [], table.column("place")[0].as_py()
+    for k in range(3):
+        rows = by_sender(table, SUMS + 2 * k)
+        if not rows:
+            continue
+        keys = [np.frombuffer(r["data"][0], dtype=np.uint64) for r in rows]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        numbers = [np.bincount(at, weights=joined(rows, 1 + i), minlength=len(distinct)).astype(np.int64) for i in range(len(rows[0]["data"]) - 1)]
+        last = []
+        if k == 0:
+            drawn = []
+            for i, c in enumerate(numbers):
+                none = np.zeros(len(c))
+                drawn.append(np.minimum(c, 1) if sweep < 0 else seating.drawn(c, none, none + model.base, None, None, model.discounts[2], STRENGTH, uniform(mixed(distinct), 0, sweep + i)))
+            ones = [int((numbers[0] == j).sum()) for j in (1, 2)]
+            numbers = [x for both in zip(numbers, drawn, strict=True) for x in both]
+            last = [planes(np.array([int(x.sum()) for x in numbers] + ones))]
+        asked = {r["sender"]: x for r, x in zip(rows, np.split(at, np.cumsum([len(x) for x in keys])[:-1]), strict=True)}
+        for bucket in range(model.places) if k == 0 else asked:
+            own = asked.get(bucket, np.zeros(0, dtype=np.int64))
+            out.append((SUMS + 2 * k, place, bucket, [planes(x[own]) for x in numbers] + last))
+    return rows_of(out)
+
+
+def opened(row: dict) -> Bucket:
+    a, b, w, uses = unpacked(row["data"])
+    return Bucket(row["place"], a, b, w, uses, from_planes(row["data"][4]))
+
+
+def turned(left: pa.Table, right: pa.Table, model: Model, sweep: int, sweeps: int, keep: int) -> pa.Table:
+    """A round in a bucket: sweeps, the last `keep` seatings, and their reports."""
+    if not left.num_rows:
+        return rows_of([])
+    bucket = opened(left.to_pylist()[0])
+    (state,), root = bucket.states(model, right.to_pylist())
+    if model.discounts[2] is None:
+        state.model = Model(model.types, model.tokens, model.places, (*model.discounts[:2], discount(*root[-2:].tolist())))
+    seats = []
+    for k in range(sweeps):
+        state.sweep(sweep + k)
+        if k >= sweeps - keep:
+            seats.append((state.tables.copy(), state.pair_tables.copy()))
+    return rows_of([(SEATS, bucket.number, bucket.number, [planes(x) for both in seats for x in both]), (TOTALS, -1, bucket.number, [planes(root[-2:])]), *bucket.asks(seats, model.places)])
+
+
+def answered(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
+    """Each block's answers from a bucket: -log10 of the mean probability, in parts."""
+    if not left.num_rows:
+        return rows_of([])
+    row = left.to_pylist()[0]
+    bucket = opened(row)
+    states, _ = bucket.states(model, right.to_pylist())
+    parts = np.rint(-np.log10(sum(s.predictive() for s in states) / len(states)) * PARTS).astype(np.int64)
+    senders = from_planes(row["data"][5])
+    return rows_of([(TRIPLES, bucket.number, int(block), [planes(np.maximum(parts[np.cumsum(from_planes(m))], 0))]) for block, m in zip(senders, row["data"][6:], strict=True)])
+
+
+SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def known(block: Block, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training counts of the block's words and pairs, and the pairs it owns."""
-    (word_total,) = filled(block.hashes, [2 * block.word_count], rows, WORDS)
-    (pair_total,) = filled(block.key, [2 * block.pair_count + 1], rows, PAIRS)
-    return word_total >> 1, pair_total >> 1, (pair_total & 1).astype(bool)
+def finished(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
+    if not left.num_rows:
+        return pa.table([pa.array([], kind) for kind in SCORE_TYPES.values()], names=list(SCORE_TYPES))
+    block, rows = Block.read(left.to_pylist()[0]), right.to_pylist()
+    number, train, uses = known(block, rows, model.places)
+    asked = Asked.of(block, number, uses, model.places)
+    logs = joined(sorted((r for r in rows if r["kind"] == TRIPLES), key=lambda r: r["place"]), 0)[asked.at] / -PARTS
+    base = np.log10((train + 0.5) / (model.tokens + 0.5 * (model.types + 1)))[block.ids]
+    cut = np.cumsum(block.sizes) - block.sizes
+    columns = [block.doc_ids, block.held, block.sizes, np.add.reduceat((train[block.ids] > 0).astype(np.int64), cut), np.full(len(cut), model.tokens), np.add.reduceat(base, cut), np.add.reduceat(logs, cut)]
+    return pa.table([pa.array(x, kind) for x, kind in zip(columns, SCORE_TYPES.values(), strict=True)], names=list(SCORE_TYPES))
+
+
+def totals(df: DataFrame) -> list[int]:
+    """The sums of what all places say of themselves, a row of a few numbers for each."""
+    out = [0, 0, 0, 0]
+    for row in df.where(F.col("kind") == TOTALS).select("data").toLocalIterator():
+        for i, x in enumerate(from_planes(bytes(row.data[0])).tolist()):
+            out[i] += x
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of rows of doc_id, held and text; rows that are held teach nothing."""
     spark = docs.sparkSession
     blocks = encoded(docs)
-    tokens, starts = blocks.agg(F.sum("tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
-    buckets = min(1 << 15, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(tokens or 0) // BUCKET_KEYS)))
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_KEYS))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block.read(row, buckets)
-                yield from as_batches([*asks(block, WORDS, block.hashes, [block.word_count], buckets), *asks(block, PAIRS, block.key, [block.pair_count], buckets)])
-
-    answered = blocks.mapInArrow(ask, ASKED).groupBy("kind", "bucket").applyInArrow(counted, ASKED)
-    counts = written(answered, "lm-counts")
-    types, seen, _, _ = totals(counts, WORDS, 4)
-    _, _, ones, twos = totals(counts, PAIRS, 4)
-    t = Totals(seen, types, discount(ones, twos), [])
-    # The start of a text is a context, but no token; as a context it has as many customers as texts are trained on.
-
-    def opened(left: pa.Table, right: pa.Table) -> tuple:
-        block = Block.read(left.to_pylist()[0], buckets)
-        rows = right.to_pylist()
-        word_total, pair_total, owned = known(block, [r for r in rows if r["stage"] == 0])
-        as_context = word_total.copy()
-        as_context[0] = starts
-        return block, rows, word_total, as_context, pair_total, owned
-
-    def sit(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return empty(ASKED_TYPES)
-        block, _, word_total, as_context, pair_total, owned = opened(left, right)
-        numbers = []
-        for tables in pair_seats(block, word_total, as_context, pair_total, t):
-            tables = np.where(owned, tables, 0)
-            numbers += [np.bincount(at, weights=tables, minlength=len(block.hashes)).astype(np.int64) for at in (block.context, block.word)]
-        return pa.Table.from_batches(as_batches(list(asks(block, WORDS, block.hashes, numbers, buckets))))
-
-    kept = counts.where("block >= 0").withColumn("stage", F.lit(0))
-    seats_of = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(sit, ASKED)
-    tables = written(seats_of.groupBy("kind", "bucket").applyInArrow(seated, ASKED), "lm-tables")
-    sums = totals(tables, WORDS, 4 * SEATINGS)
-    t.parent = [(sums[4 * k], sums[4 * k + 1], discount(*sums[4 * k + 2 : 4 * k + 4])) for k in range(SEATINGS)]
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return empty(SCORE_TYPES)
-        block, rows, word_total, as_context, pair_total, owned = opened(left, right)
-        drawn = pair_seats(block, word_total, as_context, pair_total, t)
-        own = []
-        for x in drawn:
-            x = np.where(owned, x, 0)
-            own += [np.bincount(at, weights=x, minlength=len(block.hashes)) for at in (block.context, block.word)]
-        per_word = filled(block.hashes, own, [r for r in rows if r["stage"] == 1], WORDS)
-        p = np.zeros(len(block.key))
-        for k, x in enumerate(drawn):
-            context_tables, dish = per_word[2 * k], per_word[2 * k + 1]
-            customers, tables, d = t.parent[k]
-            rest = (STRENGTH + d * tables) / (STRENGTH + customers) / (t.types + 1)
-            # In the parent a dish with customers has one table: a second one would weigh next to nothing, its base being one word of all.
-            parent = np.maximum(dish - d, 0) / (STRENGTH + customers) + rest
-            of = as_context[block.context]
-            p += (np.maximum(pair_total - t.pair_discount * x, 0) + (STRENGTH + t.pair_discount * context_tables[block.context]) * parent[block.word]) / (STRENGTH + of)
-        logs = np.log10(p / SEATINGS)[block.pair_of]
-        base = np.log10((word_total + 0.5) / (t.tokens + 0.5 * (t.types + 1)))[block.ids]
-        cut = np.cumsum(block.sizes) - block.sizes
-        known_ = np.add.reduceat((word_total[block.ids] > 0).astype(np.int64), cut)
-        columns = [block.doc_ids, block.held, block.sizes, known_, np.full(len(cut), t.tokens), np.add.reduceat(base, cut), np.add.reduceat(logs, cut)]
-        return pa.table([pa.array(x, kind) for x, kind in zip(columns, SCORE_TYPES.values(), strict=True)], names=list(SCORE_TYPES))
-
-    both = kept.unionByName(tables.where("block >= 0").withColumn("stage", F.lit(1)))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-ASKED_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "numbers": pa.list_(pa.binary())}
-SCORE_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-
+                block = Block.read(row)
+                yield from rows_of(dealt(WORDS, block.word_places(places), places, block.number, list(block.counts()), block.hashes)[1]).to_batches()
 
-def empty(types: dict[str, pa.DataType]) -> pa.Table:
-    return pa.table([pa.array([], kind) for kind in types.values()], names=list(types))
+    names = written(blocks.mapInArrow(ask_words, ROW).groupBy("place").applyInArrow(lambda t: numbered(t, places), ROW), "lm-words")
+    types, seen, *_ = totals(names)
+    model = Model(types, seen, places)
+    for_blocks = names.where(F.col("kind") == WORDS).withColumnRenamed("sender", "block")
 
-
-def pair_seats(block: Block, word_total: np.ndarray, as_context: np.ndarray, pair_total: np.ndarray, t: Totals) -> list[np.ndarray]:
-    """Tables of each pair in its context, for each seating."""
-    word = (word_total + 0.5) / (t.tokens + 0.5 * (t.types + 1))
-    opens = (STRENGTH + t.pair_discount * as_context[block.context].astype(float) ** TABLES) * word[block.word]
-    return [seats(pair_total, opens, t.pair_discount, block.key, k) for k in range(SEATINGS)]
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return rows_of([])
+        block = Block.read(left.to_pylist()[0])
+        number, _, uses = known(block, right.to_pylist(), places)
+        return rows_of(Asked.of(block, number, uses, places).rows(block.number))
+
+    triples = blocks.groupBy("block").cogroup(for_blocks.groupBy("block")).applyInArrow(ask_triples, ROW)
+    first = bucketed(triples.groupBy("place").applyInArrow(lambda t: merged(t, model), ROW), "lm-buckets", "sender")
+    ones = totals(first)
+    model = Model(types, seen, places, (discount(*ones[:2]), discount(*ones[2:]), None))
+    buckets = first.where(F.col("kind") == TRIPLES)
+
+    def replies(state: DataFrame, model: Model, sweep: int) -> DataFrame:
+        """What goes to the buckets after a round: the sums of all reports, and their own seats."""
+        sums = state.where(F.col("kind").isin(SUMS, SUMS + 2, SUMS + 4)).groupBy("place").applyInArrow(lambda t: summed(t, model, sweep), ROW)
+        return sums.unionByName(state.where(F.col("kind") == SEATS))
+
+    def turn(state: DataFrame, model: Model, drawn: int, sweep: int, sweeps: int, keep: int) -> DataFrame:
+        both = buckets.groupBy("sender").cogroup(replies(state, model, drawn).groupBy("sender"))
+        return written(both.applyInArrow(lambda a, b: turned(a, b, model, sweep, sweeps, keep), ROW), "lm-round")
+
+    state = turn(first, model, -1, 0, SWEEPS, 1)
+    row = state.where(F.col("kind") == TOTALS).select("data").first()
+    model = Model(types, seen, places, (*model.discounts[:2], discount(*from_planes(bytes(row.data[0])).tolist()) if row else 0.5))
+    state = turn(state, model, SWEEPS - 1, SWEEPS, SAMPLES, SAMPLES)
+    last = buckets.groupBy("sender").cogroup(replies(state, model, SWEEPS).groupBy("sender")).applyInArrow(lambda a, b: answered(a, b, model), ROW)
+    both = for_blocks.unionByName(last.withColumnRenamed("sender", "block"))
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lambda a, b: finished(a, b, model), SCORE)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

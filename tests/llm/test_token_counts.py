@@ -25,3 +25,15 @@ def test_frame(spark):
     rows = sorted(map(tuple, tc.token_counts(df, PATH).collect()), key=str)
     assert rows == sorted([(1, 3, 2, False), (1, 3, 2, False), (2, 0, 0, False), (None, 0, 0, False), (4, 20480, 4097, True)], key=str)
     assert tc.token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_a_model_that_merges_over_spaces_is_refused(monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(tc, "counted", lambda texts, library, cache: tc.np.zeros(len(texts), dtype=int))
+    tc.model.cache_clear()
+    with pytest.raises(ValueError):
+        tc.model(PATH)
+    monkeypatch.undo()
+    tc.model.cache_clear()
+    tc.model(PATH)

@@ -5,7 +5,8 @@ pattern cuts; each class is a function from states to states, and functions comp
 state before every codepoint of a whole batch at once. Slices between cuts are deduplicated, each distinct slice is
 merged once (and cached), and the ids of all slices are gathered by their dictionary index.
 
-A null text is empty, an empty text has no ids, equal texts get equal ids, rows of equal doc_id are all kept.
+A null text is empty, an empty text has no ids, equal texts get equal ids, rows of equal doc_id are all kept. Empty
+table: empty result. Columns other than doc_id and text (or ids) are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations

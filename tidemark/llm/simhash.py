@@ -11,7 +11,9 @@ of large-star and small-star join the stars of all shards into components.
 
 Texts are lower-cased (A-Z) and split into the words `[^\\x20\\x09-\\x0D]+`; a fingerprint comes from the XXH64 (seed 42)
 of all their runs of `shingle` words, repeats included. Fewer words give one shingle, none (and a null) fingerprint 0,
-linked like any other. Rows of equal doc_id are all kept; a component's id is its least doc_id (null if it has none).
+linked like any other. A bit set in exactly half of the hashes is 0. Rows of equal doc_id are all kept; a component's id
+is its least doc_id (null if it has none). Empty table: empty result. Columns other than doc_id and text are neither read
+nor returned, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,12 +5,14 @@ something else: there a text may be cut, and the counts of its parts add up to t
 the library puts before each text takes the place of the space that the cut removed. Parts are deduplicated per batch,
 each distinct part is encoded once, and only lengths leave the task. A model without this property is refused.
 
-A null text is empty and has no tokens; rows of equal doc_id are all kept.
+A null or empty text has no tokens; rows of equal doc_id are all kept, equal texts have equal counts. Empty table: empty
+result. Columns other than doc_id and the text are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import random
 import re
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from tidemark.llm.common import by_bytes, documents, flat, lengths, pieces
 LIMIT = 4096
 #: The white-space mark of the library.
 MARK = "▁"
+#: Random texts that a model is tried on, and what they are made of.
+PROBES, PROBE = 400, "  \t\n\u00a0\u3000▁aabetTé中🙂.,'-<s>019"
 #: Parts whose counts a task keeps.
 CACHE = 1_000_000
 
@@ -37,6 +41,11 @@ def model(path: str):
         raise ValueError("a piece holds a white-space mark behind another character; texts can't be cut at spaces")
     if "".join(got.encode("a  b", out_type=str)) != f"{MARK}a{MARK}{MARK}b":
         raise ValueError("the model changes white space; texts can't be cut at spaces")
+    # Texts of all that cuts may meet, whole and in parts.
+    rng = random.Random(1)
+    probes = ["".join(rng.choices(PROBE, k=rng.randint(0, 60))) for _ in range(PROBES)]
+    if counted(pa.array(probes), got, {}).tolist() != [len(x) for x in got.encode(probes)]:
+        raise ValueError("parts of a text don't add up to the whole with this model")
     return got
 
 
@@ -62,6 +71,10 @@ def safe_parts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count(texts: pa.Array, path: str) -> np.ndarray:
+    return counted(texts, model(path), known(path))
+
+
+def counted(texts: pa.Array, library, cache: dict[bytes, int]) -> np.ndarray:  # noqa: ANN001
     data, rows = flat(texts)
     if not len(data):
         return np.zeros(len(texts), dtype=np.int64)
@@ -75,11 +88,10 @@ def count(texts: pa.Array, path: str) -> np.ndarray:
     starts, cut = place[first][order], (np.arange(len(first)) >= len(filled))[order]
     column = pieces(data[kept], starts, int(kept.sum())).dictionary_encode()
     index, parts = column.indices.to_numpy(zero_copy_only=False), column.dictionary.to_pylist()
-    cache = known(path)
     if len(cache) > CACHE:
         cache.clear()
     missing = [x for x in parts if x not in cache]
-    cache.update(zip(missing, map(len, model(path).encode([x.decode() for x in missing], num_threads=1)), strict=True))
+    cache.update(zip(missing, map(len, library.encode([x.decode() for x in missing], num_threads=1)), strict=True))
     each = np.fromiter(map(cache.__getitem__, parts), dtype=np.int64, count=len(parts))[index]
     empty = np.diff(np.append(starts, kept.sum())) == 0
     each[empty & cut] = 1  # a space that ends a text: its mark stands alone

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_bytes, documents, words, written
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 2, 42
-#: Fingerprints that the trees are built from; fingerprints that a shard should hold; rows of one comparison.
-SAMPLE, SHARD, CELL = 65_536, 2048, 8192
+#: Fingerprints that the trees are built from: one of PART, but LEAST at least and SAMPLE at most (8 MB). Shards of about
+#: SHARD fingerprints, so up to SHARD / 2 x SAMPLE distinct ones; rows of one comparison.
+PART, LEAST, SAMPLE, SHARD, CELL = 32, 4096, 1 << 20, 2048, 8192
 #: Bytes of text hashed at once.
 BATCH = 2 << 20
 
@@ -163,9 +164,9 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Dat
     """u and v: fingerprints (column fp, distinct) of one group, enough to connect all that differ in at most radius bits."""
     spark = classes.sparkSession
     n = classes.count()
-    sample = np.array([r.fp for r in classes.orderBy(F.xxhash64(F.lit(1), "fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in classes.orderBy(F.xxhash64(F.lit(1), "fp")).limit(min(SAMPLE, max(LEAST, n // PART))).collect()], dtype=np.int64).view(np.uint64)
     slack = radius // blocks
-    leaf = max(2, min(SAMPLE // 64, round(SHARD * len(sample) / max(1, n))))
+    leaf = max(2, round(SHARD * len(sample) / max(1, n)))
     rng = random.Random(23)
     trees = spark.sparkContext.broadcast([Tree.built(sample, mask, leaf, rng) for mask in block_masks(blocks)])
 
@@ -181,7 +182,7 @@ def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Dat
 
     shape = "tree int, leaf int, fp long"
     living, asked = (classes.select("fp").mapInArrow(dealt(x), shape) for x in (0, slack))
-    # A row for each leaf: at most BLOCKS x SAMPLE / 2, whatever the input.
+    # A row for each leaf: at most BLOCKS x SAMPLE / 2, whatever the input, and one for about SHARD fingerprints.
     size = lambda df, name: df.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
     counts = F.broadcast(written(size(living, "parts").join(size(asked, "asks"), ["tree", "leaf"]), "simhash-leaves"))
     every, one = (lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))), (lambda c: F.pmod(F.xxhash64(F.lit(2), "fp"), F.col(c)).cast("int"))

@@ -36,6 +36,7 @@ def hosts(spark: SparkSession, n_hosts: int, n_ticks: int, step: int = 1, start:
     """Samples of five metrics of each host, with labels host, job and region."""
     host = F.concat(F.lit("h"), F.col("host").cast("string"))
     noise = lambda k: uniform(seed + k, F.col("host"), F.col("tick")) - 0.5
+    # Centre, swing and period of each metric.
     cpu = F.round(45 + 15 * F.sin(F.col("tick") / 300 + F.col("host")) + 8 * noise(1), 4)
     values = {
         "cpu_usage": cpu,

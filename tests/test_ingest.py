@@ -64,6 +64,8 @@ def test_engine(spark, tmp_path):
     db.table.write('aaa{x="1"}', [1000], [1.0])  # comes first by name, last by number
     assert [(r.series_id, r.name) for r in db.series().collect()] == [(1, 'cpu{host="a"}'), (2, 'cpu{host="b"}'), (3, 'aaa{x="1"}')]
     again = Engine(spark, f"{tmp_path}/samples")
+    again.rules.add(name="busy", metric="cpu", labels={"host": "a"}, window_sec=300, threshold=50)
+    assert again.check_rules(1002) == []  # it has been firing since before the restart
     assert again.lookup("aaa", {"x": "1"}) == 3
     db.rules.rules["r1"].threshold = "many"  # a rule that can't be evaluated any more
     db.rules.add(name="other", metric="cpu", labels={"host": "a"}, window_sec=300, threshold=50)

@@ -13,6 +13,7 @@ from tidemark.operators import catalog, range_query, rules
 from tidemark.operators.range_query import Query
 from tidemark.sources import exposition
 from tidemark.sources.store import SampleTable, SeriesNumbers
+from tidemark.streaming.continuous import Firing
 
 BODY_BYTES = 8 << 20
 
@@ -26,7 +27,7 @@ class Engine:
         self.spark, self.table, self.rules = spark, SampleTable(spark, path), rules.RuleSet()
         self.numbers = SeriesNumbers(self.table)
         self.rule_errors: list[dict[str, str]] = []
-        self.firing, self.alerts = rules.empty_firing(spark), rules.empty_alerts(spark)
+        self.firing, self.alerts = Firing(spark, f"{self.table.path}__firing"), rules.empty_alerts(spark)
         self.counters = dict.fromkeys(("writes", "samples_received", "queries", "samples_read", "evaluations", "fired_total"), 0)
 
     def ingest(self, body: str, now: int) -> dict[str, Any]:
@@ -75,16 +76,18 @@ class Engine:
         return found.series_id if found else None
 
     def check_rules(self, now: int) -> list[dict[str, Any]]:
-        """Evaluates all rules; the alerts are few and come back as plain values."""
+        """Evaluates all rules. New alerts are few and come back as plain values; what fires is a stored table, which a
+        restart finds again."""
+        number = (self.firing.last() or 0) + 1
         if not self.rules.rules:
-            self.firing = rules.empty_firing(self.spark)
+            self.firing.write(rules.empty_firing(self.spark), number)
             return []
         frame = self.rules.frame(self.spark)
         self.rule_errors = [r.asDict() for r in rules.rejected(frame.where("enabled")).collect()]
-        new, firing, _ = rules.evaluate(self.table.read(), frame, self.firing, now)
+        new, firing, _ = rules.evaluate(self.table.read(), frame, self.firing.read(), now)
         rows = new.collect()
-        # Rules and what they fire for are few; small frames without a history keep later checks short.
-        self.firing = self.spark.createDataFrame(firing.collect(), firing.schema)
+        self.firing.write(firing, number)
+        # The recent alerts are few; a small frame without a history keeps later checks short.
         self.alerts = self.spark.createDataFrame([*rows, *rules.recent(self.alerts).collect()], self.alerts.schema)
         self.counters["evaluations"] += 1
         self.counters["fired_total"] += len(rows)
@@ -95,4 +98,4 @@ class Engine:
 
     def stats(self) -> dict[str, Any]:
         stored = catalog.ingest_stats(self.table.read()).first().asDict()
-        return stored | self.counters | {f"rules_{k}": v for k, v in self.rules.stats().items()} | {"rules_firing": self.firing.count(), "rules_alerts": self.alerts.count()}
+        return stored | self.counters | {f"rules_{k}": v for k, v in self.rules.stats().items()} | {"rules_firing": self.firing.read().count(), "rules_alerts": self.alerts.count()}

@@ -34,15 +34,25 @@ class Firing:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """What the last evaluation has left, or the last one before a number: an evaluation that runs again begins where it began."""
+    def last(self, before: int | None = None) -> int | None:
+        """The number of the last whole evaluation, or of the last one before a number."""
         folder = Files(self.spark, self.path)
-        done = [int(n) for n in folder.names() if n.isdigit() and folder.exists(f"{n}/_SUCCESS")]
-        done = [n for n in done if before is None or n < before]
-        return self.spark.read.schema(FIRING).parquet(f"{self.path}/{max(done)}") if done else R.empty_firing(self.spark)
+        done = (int(n) for n in folder.names() if n.isdigit() and folder.exists(f"{n}/_SUCCESS"))
+        return max((n for n in done if before is None or n < before), default=None)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """What it has left: an evaluation that runs again begins where it began."""
+        last = self.last(before)
+        return R.empty_firing(self.spark) if last is None else self.spark.read.schema(FIRING).parquet(f"{self.path}/{last}")
 
     def write(self, firing: DataFrame, number: int) -> None:
+        """Stores an evaluation; those before the one that it began with go."""
+        began = self.last(number)
         firing.write.mode("overwrite").parquet(f"{self.path}/{number}")
+        folder = Files(self.spark, self.path)
+        for name in folder.names():
+            if name.isdigit() and began is not None and int(name) < began:
+                folder.system.delete(folder.path(name), True)
 
 
 def watch(trigger: DataFrame, samples: Callable[[], DataFrame], rules: Callable[[], DataFrame], firing: Firing, clock: Callable[[int], int], on_alerts: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str = "5 seconds") -> StreamingQuery:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,8 @@ EDGES = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0
 
 @dataclass
 class Model:
-    vocabulary: list[str] = field(default_factory=list)
+    #: 64-bit hashes of the words, ascending.
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
     #: P(w | toxic) / P(w | ordinary): a column for the whole training set and one without each fold; last the row of unknown words.
     ratios: np.ndarray = field(default_factory=lambda: np.ones((1, 1 + FOLDS)))
     share: float = SHARES[0]
@@ -63,13 +64,24 @@ class Model:
         n = np.diff(rows)
         out = np.zeros((len(shares), len(n)))
         if len(index):
-            at = pc.fill_null(pc.index_in(index.dictionary, pa.array(self.vocabulary, pa.string())), -1).to_numpy(zero_copy_only=False)[index.indices.to_numpy(zero_copy_only=False)]
+            at = self.places(hashes(index.dictionary))[index.indices.to_numpy(zero_copy_only=False)]
             ratio = self.ratios[at, np.repeat(column, n)]
             row = np.repeat(np.arange(len(n)), n)
             for k, share in enumerate(shares):
                 out[k] = np.bincount(row, weights=np.log(1 - share + share * ratio), minlength=len(n))
         return out / np.maximum(n, 1)
 
+    def places(self, words_: np.ndarray) -> np.ndarray:
+        """The row of each word's ratios; the last one for unknown words."""
+        if not len(self.vocabulary):
+            return np.full(len(words_), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, words_), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words_, at, -1)
+
+    def scoring(self) -> Model:
+        """What scoring needs: no folds."""
+        return replace(self, ratios=self.ratios[:, :1])
+
     def evidence(self, texts: pa.Array, column: np.ndarray) -> np.ndarray:
         return self.evidences(texts, column, (self.share,))[0]
 
@@ -87,12 +99,18 @@ def expressions(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return pa.DictionaryArray.from_arrays(column.indices, pc.utf8_trim(column.dictionary.cast(pa.large_string()), EDGES).cast(pa.string())), rows
 
 
+def hashes(names: pa.Array) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(x) for x in names.to_pylist()), dtype=np.uint64, count=len(names))
+
+
 def fold_of(doc_ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"fold %d" % (i or 0)) % FOLDS for i in doc_ids], dtype=np.int64)
 
 
 def count(sample: DataFrame) -> DataFrame:
-    """word, and how many documents of each label and fold hold it (a column for each)."""
+    """The hash of every word, and how many documents of each label and fold hold it (a column for each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
@@ -107,11 +125,11 @@ def count(sample: DataFrame) -> DataFrame:
             once = np.unique(row * size + at)
             kind = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64) * FOLDS + fold_of(batch.column("doc_id").to_pylist())
             counts = np.bincount(once % size * (2 * FOLDS) + kind[once // size], minlength=size * 2 * FOLDS).reshape(size, 2 * FOLDS)
-            yield pa.RecordBatch.from_arrays([names.dictionary, *(pa.array(counts[:, k]) for k in range(2 * FOLDS))], ["word", *(f"n{k}" for k in range(2 * FOLDS))])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(names.dictionary).view(np.int64)), *(pa.array(counts[:, k].astype(np.int32)) for k in range(2 * FOLDS))], ["word", *(f"n{k}" for k in range(2 * FOLDS))])
 
     each = [f"n{k}" for k in range(2 * FOLDS)]
-    rows = sample.mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in each)}")
-    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in each))
+    rows = sample.mapInArrow(run, f"word long, {', '.join(f'{c} int' for c in each)}")
+    return rows.groupBy("word").agg(*(F.sum(c).cast("int").alias(c) for c in each))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -144,13 +162,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not (weigh.get(0) and weigh.get(1)) or {r.toxic for r in sample.select("toxic").distinct().collect()} != {0, 1}:
         return Model(constant=float(weigh.get(1, 0) / max(1, sum(weigh.values()))))
     found = count(sample).toArrow()  # the words of at most SAMPLE + ORDINARY texts
-    n = np.column_stack([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)]).astype(float)
+    names = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    n = np.column_stack([found.column(f"n{k}").to_numpy() for k in range(2 * FOLDS)])[order].astype(float)
     ratios = np.zeros((len(n) + 1, 1 + FOLDS))
     for at, fold in enumerate([-1, *range(FOLDS)]):
         use = [k for k in range(FOLDS) if k != fold]
         ordinary, toxic = likelihoods(tuple(n[:, [label * FOLDS + k for k in use]].sum(1) for label in (0, 1)))
         ratios[:, at] = toxic / ordinary
-    return calibrated(sample, Model(found.column("word").to_pylist(), ratios), weigh)
+    return calibrated(sample, Model(names[order], ratios), weigh)
 
 
 def calibrated(sample: DataFrame, model: Model, weigh: dict[int, int]) -> Model:
@@ -186,7 +206,7 @@ def best_cut(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 
 def scored(df: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of doc_id and text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.scoring())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):
@@ -199,7 +219,7 @@ def accepted(df: DataFrame, model: Model) -> DataFrame:
     """The rows, all columns as they are, whose text isn't predicted toxic; all rows where no model could be fitted."""
     if model.constant is not None:
         return df
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.scoring())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH):

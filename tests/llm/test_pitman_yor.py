@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
 from tidemark.llm import pitman_yor as py
 from tidemark.llm import seating
@@ -103,13 +103,22 @@ def share(c, t, whole, tables, d, parent):
     return p
 
 
+def word_hash(w):
+    h, data = len(w.encode()) + 7, w.encode()
+    mix = lambda x: int(py.mixed(np.array([x], dtype=np.uint64))[0])
+    h = mix(h)
+    for i in range(0, len(data), 8):
+        h = mix(h ^ int.from_bytes(data[i : i + 8], "little"))
+    return h
+
+
 class Sampler:
     """The same model with dictionaries, one dish after the other."""
 
     def __init__(self, given, places):
         self.count, self.uses, self.texts = Counter(), Counter(), []
         for i, text in given:
-            h = [int(py.END) if w is None else xxhash.xxh64_intdigest(w.encode(), 7) for w in tokens(text)]
+            h = [int(py.END) if w is None else word_hash(w) for w in tokens(text)]
             path = [int(py.START)] * 2 + h
             self.texts.append(list(zip(path, path[1:], h)))
             self.uses.update([int(py.START), *h])
@@ -264,6 +273,12 @@ def test_large_dishes_are_drawn_like_small_ones():
     assert 1 <= huge[0] < 10**6 and huge.tolist()[1:3] == [1, 0]
 
 
+def test_hashes():
+    given = ["", "a", "abcdefgh", "abcdefghi", "é" * 30, "x" * 1000, "a\0", "a\0\0"]
+    got = py.hashes_of(pa.array(given)).tolist()
+    assert got == [word_hash(w) for w in given] and len(set(got)) == len(given)
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     a, b, w = rng.integers(0, 50, 3000), rng.integers(0, 9, 3000), rng.integers(0, 2**40, 3000)

@@ -30,6 +30,7 @@ empty result. Columns other than doc_id, held and text are neither read nor retu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import seating
-from tidemark.llm.common import bucketed, by_bytes, documents, remainder, words, written
+from tidemark.llm.common import bucketed, by_bytes, documents, flat, remainder, words, written
 
 #: Bytes of text in a block, and of those that are split into words at once; tokens of a bucket, about.
 BLOCK_BYTES, PART_BYTES, BUCKET_KEYS = 8 << 20, 2 << 20, 1 << 20
@@ -60,16 +61,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers byte by byte, compressed: the high bytes, mostly zero, lie together."""
-    wide = 8 if len(values) and int(values.max()) >> 32 else 4
-    data = values.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes()
+    """Whole numbers byte by byte, as many bytes as the largest has, compressed: the high bytes, mostly zero, lie together."""
+    wide = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    data = b"".join((values >> 8 * k).astype(np.uint8).tobytes() for k in range(wide))
     return bytes([wide]) + len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    wide = data[0]
-    raw = pa.Codec("zstd").decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(wide, -1).T).view(f"<u{wide}")[:, 0].astype(np.int64)
+    wide, size = data[0], int.from_bytes(data[1:9], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[9:], size, asbytes=True), dtype=np.uint8).reshape(wide, -1)
+    out = raw[0].astype(np.int64)
+    for k in range(1, wide):
+        out |= raw[k].astype(np.int64) << 8 * k
+    return out
+
+
+def hashes_of(names: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings: eight bytes after eight are mixed in, of all strings at once."""
+    data, ends = flat(names)
+    start, size = ends[:-1], np.diff(ends)
+    out = mixed(size.astype(np.uint64) + np.uint64(7))
+    lanes = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, dtype=np.uint8)), 8)
+    left, at = np.arange(len(size)), 0
+    while len(left := left[size[left] > at]):
+        eight = lanes[start[left] + at].view("<u8")[:, 0]
+        short = np.minimum(size[left] - at, 8).astype(np.uint64)
+        eight = eight & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * short))
+        out[left] = mixed(out[left] ^ eight)
+        at += 8
+    return out
 
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens long, hashes binary, ids binary"
@@ -77,8 +97,6 @@ BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, sizes arra
 
 def encode_block(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     """Rows of doc_id, held and text as one row: documents, tokens of each, word hashes, and all tokens as places among them."""
-    import xxhash
-
     parts, counts = [], []
     for batch in batches:
         found, rows = words(batch.column("text"))
@@ -95,8 +113,7 @@ def encode_block(batches: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     inside = np.ones(len(ids), dtype=bool)
     inside[np.cumsum(count + 1) - 1] = False
     ids[inside] = place[index]
-    hashed = xxhash.xxh64_intdigest
-    hashes = np.concatenate([np.array([START, END]), np.fromiter((hashed(x, 7) for x in names.take(pa.array(order)).to_pylist()), dtype=np.uint64, count=len(names))])
+    hashes = np.concatenate([np.array([START, END]), hashes_of(names)[order]])
     table = pa.Table.from_batches([b.select(["doc_id", "held"]) for b in batches]).combine_chunks()
     whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return pa.RecordBatch.from_arrays(
@@ -137,7 +154,7 @@ def rows_of(rows: list[tuple]) -> pa.Table:
 
 def dealt(kind: int, at: np.ndarray, places: int, sender: int, numbers: list[np.ndarray], raw: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
     """The order in which numbers are dealt out to places, and a row for each place that gets any. raw: 64-bit hashes sent along as they are."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(small(at), kind="stable")
     cut = np.searchsorted(at[order], np.arange(places + 1))
     rows = []
     for k in range(places):
@@ -195,10 +212,31 @@ class Block:
         return earlier[head], before[head], self.ids[head], count, at
 
 
+def order_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by all columns, the first one first, and where a new row of values begins in it: by one key, where they fit into 64 bits together."""
+    size = [int(x.max()) + 1 if len(x) else 1 for x in columns]
+    if math.prod(size) >= 1 << 64:  # fewer values in their own order
+        columns = tuple(np.searchsorted(np.unique(x), x) for x in columns)
+        size = [int(x.max()) + 1 for x in columns]
+        if math.prod(size) >= 1 << 64:
+            order = np.lexsort(columns[::-1])
+            return order, runs(*(x[order] for x in columns))
+    key = np.zeros(len(columns[0]), dtype=np.uint64)
+    for x, n in zip(columns, size, strict=True):
+        key *= np.uint64(n)
+        key += x.astype(np.uint64)
+    order = np.argsort(key)
+    return order, runs(key[order])
+
+
+def small(places: np.ndarray) -> np.ndarray:
+    """Numbers of few places in the narrowest kind, which sorts fastest."""
+    return places.astype(np.uint16) if not len(places) or places.max() < 1 << 16 else places
+
+
 def sorted_runs(b: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by b, w, a; where a new triple begins in it; and the number of each row's triple."""
-    order = np.lexsort((a, w, b))
-    new = runs(b[order], w[order], a[order])
+    order, new = order_of(b, w, a)
     at = np.empty(len(order), dtype=np.int64)
     at[order] = np.cumsum(new) - 1
     return order, new, at
@@ -231,7 +269,7 @@ def numbered(table: pa.Table, places: int) -> pa.Table:
 
 def known(block: Block, rows: list[dict], places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number, training tokens and uses of a block's words, from the answers of all places."""
-    order = np.argsort(block.word_places(places), kind="stable")
+    order = np.argsort(small(block.word_places(places)), kind="stable")
     rows = sorted((r for r in rows if r["kind"] == WORDS), key=lambda r: r["place"])
     out = []
     for k in range(3):
@@ -260,7 +298,7 @@ class Asked:
         rank[np.argsort(number)] = np.arange(len(number))
         a, b, w, count, at = block.triples(rank)
         bucket = bucket_of(number[b], number[w], splits_of(uses[b]), places)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(small(bucket), kind="stable")
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         return cls(number[a[order]], number[b[order]], number[w[order]], count[order], uses[b[order]], np.searchsorted(bucket[order], np.arange(places + 1)), place[at])
@@ -338,14 +376,17 @@ class Bucket:
         self.lower = np.cumsum(runs(self.pair_b)) - 1  # the restaurant of a pair's first word
         first_b = np.flatnonzero(runs(self.pair_b))
         self.lower_b, self.split = self.pair_b[first_b], uses[first[first_b]] > BUCKET_KEYS
-        order = np.lexsort((a, b))
-        new = runs(b[order], a[order])
+        order, new = order_of(self.lower[self.pair], a)
         self.upper = np.empty(len(a), dtype=np.int64)  # the restaurant of a triple's first two words
         self.upper[order] = np.cumsum(new) - 1
         head = order[new]
         self.upper_a, self.upper_b = a[head], b[head]
-        self.seed = mixed(mixed(mixed(a.astype(np.uint64)) + b.astype(np.uint64)) + w.astype(np.uint64))
-        self.pair_seed = mixed(mixed(self.pair_b.astype(np.uint64)) + self.pair_w.astype(np.uint64))
+        # Dishes that can have more than one customer: of others the seats are known.
+        self.many = np.flatnonzero(count > 1)
+        self.pair_many = np.flatnonzero(np.bincount(self.pair, weights=count) > 1)
+        number_of = lambda x, at: x[at].astype(np.uint64)
+        self.seed = mixed(mixed(mixed(number_of(a, self.many)) + number_of(b, self.many)) + number_of(w, self.many))
+        self.pair_seed = mixed(mixed(number_of(self.pair_b, self.pair_many)) + number_of(self.pair_w, self.pair_many))
         self.shared_upper, self.shared_lower = np.flatnonzero(self.split[self.lower[self.pair[head]]]), np.flatnonzero(self.split)
         self.words, self.word_of = np.unique(self.pair_w, return_inverse=True)
 
@@ -384,7 +425,7 @@ class Bucket:
         """What summed() has answered to asks(), in its order: numbers of words, of shared restaurants of two words and of one; and the root's totals."""
         out = []
         for k, (keys, _) in enumerate(self.reports([])):
-            order = np.argsort((mixed(keys) % np.uint64(places)).astype(np.int64), kind="stable")
+            order = np.argsort(small((mixed(keys) % np.uint64(places)).astype(np.int64)), kind="stable")
             mine = sorted((r for r in rows if r["kind"] == SUMS + 2 * k), key=lambda r: r["place"])
             got = []
             for column in range(len(mine[0]["data"]) - (k == 0) if mine else 0):
@@ -397,6 +438,8 @@ class Bucket:
     def states(self, model: Model, rows: list[dict]) -> tuple[list[State], np.ndarray]:
         """The kept seatings with what the other buckets hold, and the root's totals."""
         (words_, upper, lower), root = self.heard(rows, model.places)
+        if model.discounts[2] is None:
+            model = Model(model.types, model.tokens, model.places, (*model.discounts[:2], discount(*root[-2:].tolist())))
         seats = [from_planes(x) for r in rows if r["kind"] == SEATS for x in r["data"]] or list(self.first_seats())
         none = np.zeros(0, dtype=np.int64)
         out = []
@@ -411,54 +454,62 @@ class State:
 
     def __init__(self, bucket: Bucket, model: Model, tables: np.ndarray, pair_tables: np.ndarray, word: tuple[np.ndarray, np.ndarray], upper: tuple[np.ndarray, np.ndarray], lower: tuple[np.ndarray, np.ndarray], root: tuple[int, int]):
         self.k, self.model, self.tables, self.pair_tables = bucket, model, tables, pair_tables
-        self.word_customers, self.word_tables, self.root, self.sent = word[0], word[1], root, pair_tables.copy()
-        own = [bucket.per_upper(bucket.count), bucket.per_upper(tables), bucket.per_lower(bucket.pair_customers(tables)), bucket.per_lower(pair_tables)]
-        self.upper_all, self.upper_other, self.customers_other, self.lower_other = own[0].copy(), np.zeros_like(own[1]), np.zeros_like(own[2]), np.zeros_like(own[3])
-        at = bucket.shared_upper
-        self.upper_all[at], self.upper_other[at] = upper[0], upper[1] - own[1][at]
-        at = bucket.shared_lower
-        self.customers_other[at], self.lower_other[at] = lower[0] - own[2][at], lower[1] - own[3][at]
+        self.word_customers, self.word_tables, self.root = word[0], word[1], root
+        # Customers of the pairs; tables of the restaurants of two words, and their customers; customers and tables of those of one.
+        self.customers = bucket.pair_customers(tables)
+        self.upper_all, self.upper_tables = bucket.per_upper(bucket.count), bucket.per_upper(tables)
+        self.lower_all, self.lower_tables = bucket.per_lower(self.customers), bucket.per_lower(pair_tables)
+        # Of shared restaurants what all buckets hold.
+        for own, everywhere, at in ((self.upper_all, upper[0], bucket.shared_upper), (self.upper_tables, upper[1], bucket.shared_upper), (self.lower_all, lower[0], bucket.shared_lower), (self.lower_tables, lower[1], bucket.shared_lower)):
+            own[at] = everywhere
+        # The root stays as it was when the round began: with all of a pair's tables among its customers, and without them.
+        self.with_own, self.without_own = self.root_share(0)[0], self.root_share(pair_tables)
 
     def root_share(self, without: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The root's probability of each pair's word without some of its customers; and what its numerator and denominator are but for new customers."""
         k, (customers, tables), d = self.k, self.root, self.model.discounts[2]
         return share(self.word_customers[k.word_of] - without, self.word_tables[k.word_of], customers - without, tables, d, self.model.base)
 
-    def pair_share(self, pair: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = self.k
-        customers = k.pair_customers(self.tables)
-        lower = k.lower[pair]
-        whole = (k.per_lower(customers) + self.customers_other)[lower]
-        tables = (k.per_lower(self.pair_tables) + self.lower_other)[lower]
-        left = customers[pair] - without
+    def pair_share(self, pair: np.ndarray, without: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, lower = self.customers[pair] - without, self.k.lower[pair]
         # Without any customer left, the pair's own tables are no customers of the root.
-        parent = np.where(left > 0, self.root_share(0)[0][pair], self.root_share(self.sent)[0][pair])
-        return share(left, self.pair_tables[pair], whole - without, tables, self.model.discounts[1], parent)
+        parent = np.where(left > 0, self.with_own[pair], self.without_own[0][pair])
+        return share(left, self.pair_tables[pair], self.lower_all[lower] - without, self.lower_tables[lower], self.model.discounts[1], parent)
+
+    def seat_pairs(self, at: np.ndarray, tables: np.ndarray) -> None:
+        np.add.at(self.lower_tables, self.k.lower[at], tables - self.pair_tables[at])
+        self.pair_tables[at] = tables
 
     def sweep(self, number: int) -> None:
         """All dishes once: half after half of the triples, then of the pairs."""
         k, (d2, d1, _) = self.k, self.model.discounts
         for half in (0, 1):
-            at = np.flatnonzero((k.count > 1) & ((k.seed & np.uint64(1)) == half))
+            own = (k.seed & np.uint64(1)) == half
+            at, seed = k.many[own], k.seed[own]
             if len(at):
                 old = self.tables[at]
-                rest = (k.per_upper(self.tables) + self.upper_other)[k.upper[at]] - old
-                self.tables[at] = seating.drawn(k.count[at], rest, *self.pair_share(k.pair[at], old), d2, STRENGTH, uniform(k.seed[at], 2, number))
-        customers = k.pair_customers(self.tables)
-        self.pair_tables = np.where(customers > 1, np.clip(self.pair_tables, 1, np.maximum(customers, 1)), np.minimum(customers, 1))
+                new = seating.drawn(k.count[at], self.upper_tables[k.upper[at]] - old, *self.pair_share(k.pair[at], old), d2, STRENGTH, uniform(seed, 2, number))
+                moved = np.flatnonzero(new != old)
+                at, more = at[moved], (new - old)[moved]
+                self.tables[at] += more
+                for counts, of in ((self.upper_tables, k.upper[at]), (self.customers, k.pair[at]), (self.lower_all, k.lower[k.pair[at]])):
+                    np.add.at(counts, of, more)
+        # Where customers have come or gone, a pair keeps one table at least and one for each customer at most.
+        kept = np.minimum(np.maximum(self.pair_tables, self.customers > 0), self.customers)
+        at = np.flatnonzero(kept != self.pair_tables)
+        self.seat_pairs(at, kept[at])
         for half in (0, 1):
-            at = np.flatnonzero((customers > 1) & ((k.pair_seed & np.uint64(1)) == half))
+            own = ((k.pair_seed & np.uint64(1)) == half) & (self.customers[k.pair_many] > 1)
+            at, seed = k.pair_many[own], k.pair_seed[own]
             if len(at):
-                rest = (k.per_lower(self.pair_tables) + self.lower_other)[k.lower[at]] - self.pair_tables[at]
-                first, more, over = (x[at] for x in self.root_share(self.sent))
-                self.pair_tables[at] = seating.drawn(customers[at], rest, first, more, over, d1, STRENGTH, uniform(k.pair_seed[at], 1, number))
+                first, more, over = (x[at] for x in self.without_own)
+                self.seat_pairs(at, seating.drawn(self.customers[at], self.lower_tables[k.lower[at]] - self.pair_tables[at], first, more, over, d1, STRENGTH, uniform(seed, 1, number)))
 
     def predictive(self) -> np.ndarray:
         """P(w | a, b) of every triple."""
         k, d = self.k, self.model.discounts[0]
-        parent = self.pair_share(np.arange(len(k.pair_b)), np.zeros(len(k.pair_b), dtype=np.int64))[0][k.pair]
-        tables = (k.per_upper(self.tables) + self.upper_other)[k.upper]
-        return (k.count - d * self.tables + (STRENGTH + d * tables) * parent) / (STRENGTH + self.upper_all[k.upper])
+        parent = self.pair_share(np.arange(len(k.pair_b)), 0)[0][k.pair]
+        return (k.count - d * self.tables + (STRENGTH + d * self.upper_tables[k.upper]) * parent) / (STRENGTH + self.upper_all[k.upper])
 
 
 def share(customers: np.ndarray, tables: np.ndarray, whole: np.ndarray, all_tables: np.ndarray, discount: float, parent: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -481,7 +532,9 @@ def merged(table: pa.Table, model: Model) -> pa.Table:
     rows = by_sender(table, TRIPLES)
     parts = [unpacked(r["data"]) for r in rows]
     a, b, w, uses = (np.concatenate([x[i] for x in parts]) for i in range(4))
-    order, new, at = sorted_runs(b, w, a)
+    # The words before the last are few in a bucket.
+    names = np.unique(np.concatenate([x[1][runs(x[1])] for x in parts]))
+    order, new, at = sorted_runs(np.searchsorted(names, b), w, a)
     head = order[new]
     a, b, w, uses = a[head], b[head], w[head], uses[head]
     count = np.bincount(at, weights=joined(rows, 4), minlength=len(head)).astype(np.int64)
@@ -533,8 +586,6 @@ def turned(left: pa.Table, right: pa.Table, model: Model, sweep: int, sweeps: in
         return rows_of([])
     bucket = opened(left.to_pylist()[0])
     (state,), root = bucket.states(model, right.to_pylist())
-    if model.discounts[2] is None:
-        state.model = Model(model.types, model.tokens, model.places, (*model.discounts[:2], discount(*root[-2:].tolist())))
     seats = []
     for k in range(sweeps):
         state.sweep(sweep + k)

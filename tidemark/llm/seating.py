@@ -18,6 +18,8 @@ import functools
 import numpy as np
 
 EXACT, DEPTH = 1024, 25.0
+#: Dishes of up to so many customers are drawn together.
+SIZES = (2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 50, 66, 88, 117, 156, 208, 277, 369, 492, 656, 875, EXACT)
 #: Points of the grids, step of the integral; up to CUT of t / c^d the integral has no cancellation to speak of.
 COARSE, FINE, STEP, CUT = 32, 64, 0.35, 5.0
 
@@ -84,20 +86,22 @@ def drawn(c: np.ndarray, rest: np.ndarray, first: np.ndarray, more: np.ndarray |
     the first table and (more + m) / (over + m) for those after it; `first` for all of them where more is None."""
     out = np.minimum(c, 1)
     small = np.flatnonzero((c > 1) & (c <= EXACT))
-    small = small[np.argsort(c[small], kind="stable")]
+    small = small[np.argsort(c[small].astype(np.uint16), kind="stable")]
     table = stirling_table(discount)
-    cuts = np.searchsorted(c[small], np.arange(2, EXACT + 2))
-    for n in range(2, EXACT + 1):
-        for a in range(cuts[n - 2], cuts[n - 1], step := max(1, 4_000_000 // n)):
-            at = small[a : min(a + step, cuts[n - 1])]
-            m = np.arange(n)
+    low = 1
+    for high in SIZES:
+        own = small[np.searchsorted(c[small], low, side="right") : np.searchsorted(c[small], high, side="right")]
+        low = high
+        for a in range(0, len(own), step := max(1, 2_000_000 // high)):
+            at = own[a : a + step]
+            m = np.arange(high)
             logs = np.log(strength + discount * (rest[at, None] + m))
             if more is None:
                 logs += np.log(first[at, None])
             else:
                 logs[:, 0] += np.log(first[at])
                 logs[:, 1:] += np.log((more[at, None] + m[1:]) / (over[at, None] + m[1:]))
-            weight = np.cumsum(logs, axis=1) + table[n, 1 : n + 1]
+            weight = np.cumsum(logs, axis=1) + table[c[at], 1 : high + 1]
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             out[at] = 1 + (weight[:, :-1] < u[at, None] * weight[:, -1:]).sum(axis=1)
     large = np.flatnonzero(c > EXACT)
